@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptflow.llm import queries, sentencepiece_codec, source_mix
+from scriptflow.llm import ngram_jaccard, queries, sentencepiece_codec, source_mix, substring_dedup
 from scriptflow.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,6 +21,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id. Repeated rows count as one."""
+    found = ngram_jaccard.join(docs)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; a text that loses some becomes its kept words, others stay as they are."""
+    cut = substring_dedup.deduplicate(docs.withColumn("_whole", F.col("text")), ["doc_id", "_whole", "lang", "source", "n_chars"], kept=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_whole"))
+    size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return cut.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, one row for each pass of the mix over them."""
     plan = source_mix.mix(docs.select("doc_id", "text", "source"))
@@ -33,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, queries.piece_model(), ids=False, digests=True)
 
 
-STAGES = [("quality", quality), ("mixing", mixing), ("tokens", tokens)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixing", mixing), ("tokens", tokens)]
 #: Training, sketches and tokenizing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 

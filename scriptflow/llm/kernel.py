@@ -129,7 +129,7 @@ def window_hashes(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:
     sums = np.empty(len(h) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(h * up[: len(h)], out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k) * _GOLDEN)
+    return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF))
 
 
 def windows_inside(first: np.ndarray, k: int, n: int) -> np.ndarray:

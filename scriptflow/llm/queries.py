@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_gam, sentencepiece_codec, source_mix
+from . import ngram_jaccard, quality_gam, sentencepiece_codec, source_mix, substring_dedup
 
 #: The tokenizer file; its folder can be set, the file is never copied.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", F.get("positions", 0).alias("position"))
 
@@ -49,13 +53,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, _table(spark, sf_dir, "documents"), sf_dir, ["doc_id"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model(), ids=False, digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_source_mix": op3_source_mix,
     "op4_quality": op4_quality,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
