@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_jaccard, quality_gam, sentencepiece_codec, source_mix, substring_dedup
+from . import license_scan, lm_scoring, ngram_jaccard, quality_gam, sentencepiece_codec, source_mix, substring_dedup, toxicity
 
 #: The tokenizer file; its folder can be set, the file is never copied.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -31,6 +31,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: odd ids lie one folder deeper than even ones, so that licences are inherited over one or two levels."""
+    shard = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("/p"), (F.col("doc_id") % 97).cast("string"))).otherwise("")
+    path = F.concat("source", F.lit("/"), "lang", shard, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path), ["doc_id"])
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -57,15 +64,30 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target documents are those labelled as good."""
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    held = (fold("doc_id", 4) == 2).alias("held_out")
+    return toxicity.score(docs, model, [docs["doc_id"]]).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model(), ids=False, digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_source_mix": op3_source_mix,
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_toxicity": op7_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
