@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lm_scoring, ngram_jaccard, quality_gam, sentencepiece_codec, source_mix, substring_dedup, toxicity
+from . import embedding_dedup, license_scan, lm_scoring, ngram_jaccard, quality_gam, sentencepiece_codec, source_mix, substring_dedup, toxicity
 
 #: The tokenizer file; its folder can be set, the file is never copied.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -76,6 +76,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, [docs["doc_id"]]).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model(), ids=False, digests=True)
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_toxicity": op7_toxicity,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
