@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, license_scan, lm_scoring, ngram_jaccard, quality_gam, sentencepiece_codec, source_mix, substring_dedup, toxicity
+from . import embedding_dedup, license_scan, lm_scoring, ngram_jaccard, nn_search, quality_gam, sentencepiece_codec, source_mix, substring_dedup, toxicity
 
 #: The tokenizer file; its folder can be set, the file is never copied.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -84,6 +84,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model(), ids=False, digests=True)
 
 
+def op10_nn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_nn_search": op10_nn_search,
 }
 ORACLES: dict[str, str] = {}
 
