@@ -114,7 +114,8 @@ def drop_in_headers(d: DataFrame, ext: Column) -> DataFrame:
     return d.where(~(F.col("code").isin(*HEADER_CODES) & ext.isin(*HEADER_EXTENSIONS)))
 
 
-def fingerprints(d: DataFrame) -> Column:
+def fingerprints(d: DataFrame | None = None) -> Column:
+    """The fingerprint of a row's file, code, place and message."""
     return fingerprint(F.col("file"), F.col("code"), F.col("line"), F.col("column"), F.col("message"))
 
 

@@ -1,0 +1,39 @@
+"""Rules that projects bring along, as Python functions over (text, file name)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..schemas import DIAGNOSTICS
+
+
+@dataclass
+class PluginRule:
+    """check returns dicts with line, column and message, and may set code and severity."""
+
+    code: str
+    severity: str
+    description: str
+    check: Callable[[str, str], Iterable[dict]]
+
+
+def run_plugins(sources: DataFrame, plugins: list[PluginRule], first_pass: int = 800) -> DataFrame:
+    """Findings of the plugins over (file, text). A plugin that raises gives E012 for that file and doesn't stop the others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch["file"], batch["text"], strict=True):
+                for number, p in enumerate(plugins):
+                    try:
+                        made = [(name, int(f["line"]), int(f.get("column", 1)), f.get("severity", p.severity), f.get("code", p.code), str(f.get("message", p.description)), first_pass + number, k) for k, f in enumerate(p.check(text or "", name))]
+                    except Exception as error:  # a plugin is foreign code
+                        made = [(name, 1, 1, "error", "E012", f"plugin {p.code} failed: {error}", first_pass + number, 0)]
+                    rows += made
+            yield pd.DataFrame(rows, columns=["file", "line", "column", "severity", "code", "message", "pass_no", "seq"])
+
+    return sources.select("file", "text").mapInPandas(run, DIAGNOSTICS)
