@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import filters, kernel
 from .components import connected_components
 from .scratch import Scratch
 
 #: Buckets of the frequency sketch that orders tokens: a fixed 1 MB, whatever the input.
 SKETCH = 1 << 18
-#: Bits of the filter over documents whose tokens are read again: a fixed 1 MB.
-FILTER_BITS = 1 << 23
 #: Members of a connected group are kept in blocks of about so many.
 BLOCK = 256
+#: Bytes of a prefix token.
+KEY_BYTES = 6
 #: Prefix tokens that one task compares, about.
 TASK_TOKENS = 1_000_000
 
@@ -94,14 +94,22 @@ def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(tokens: np.ndarray, bounds: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set the first tokens, rare classes first, of which a linked set holds one at least."""
+    """Of each set the first tokens, rare classes first, of which a linked set holds one at least:
+    the upper 48 bits of each key, as bytes. (Keys that agree only there merely add candidates.)"""
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(n)), n)
-    keys = (classes[(tokens >> np.uint64(20)) & np.uint64(SKETCH - 1)] << np.uint64(62)) | (tokens >> np.uint64(2))
+    keys = (classes[(tokens >> np.uint64(20)) & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(62)) | (tokens >> np.uint64(2))
     keys = keys[np.lexsort((keys, owner))]
     length = np.where(n > 0, n - least_shared(n, percent) + 1, 0)
     kept = np.arange(len(keys)) - bounds[:-1][owner] < length[owner]
-    return keys[kept], np.concatenate([[0], np.cumsum(length)])
+    return keys[kept].view(np.uint8).reshape(-1, 8)[:, 2:], np.concatenate([[0], np.cumsum(length)])
+
+
+def prefix_keys(raw: np.ndarray) -> np.ndarray:
+    """Keys of prefixes() from their bytes."""
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = raw.reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
 
 
 def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +134,8 @@ def room(n: int, bits: np.ndarray, union: np.ndarray) -> int:
     return n - int(np.bitwise_count(fold(bits, size) & ~fold(union, size)).sum())
 
 
-def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Class 0 to 3 of each bucket: how far its tokens' count stands out. Tasks send partial sums."""
+def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class 0 to 3 of each bucket, how far its tokens' count stands out, and the log of the count. Tasks send partial sums."""
     slots = 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,40 +159,40 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     rows = docs.select("_text").mapInArrow(count, "slot int, sums binary").repartition(slots, "slot").mapInArrow(add, "slot int, sums binary").collect()
     counts = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(rows)]) if rows else np.zeros(SKETCH, np.int64)
     spread = 4 * np.sqrt(counts.mean()) + 8
-    return np.searchsorted([spread, 16 * spread, 256 * spread], counts - counts.mean()).astype(np.uint64)
+    return np.searchsorted([spread, 16 * spread, 256 * spread], counts - counts.mean()).astype(np.uint8), np.log1p(counts).astype(np.float32)
 
 
-def _profiles(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
+def _profiles(docs: DataFrame, n: int, percent: int, sketch: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """What the join needs of each text. common: how frequent its tokens are, on the mean; of copies with
+    changes, the one nearest to what they all come from has the most."""
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in kernel.slices(batch.column(1)):
                 tokens, bounds = shingle_sets(data, offsets, n)
-                first, at = prefixes(tokens, bounds, sent.value, percent)
+                classes, logs = sent.value
+                first, at = prefixes(tokens, bounds, classes, percent)
+                sums = np.concatenate([[0.0], np.cumsum(logs[(tokens >> np.uint64(20)) & np.uint64(SKETCH - 1)], dtype=np.float64)])
+                common = np.diff(sums[bounds]) / np.maximum(np.diff(bounds), 1)
                 bits, bit_at = bitmaps(tokens, bounds)
                 lows = [_reduce(np.minimum, kernel.mix(tokens + s), bounds) for s in _SEEDS]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), signed(set_ids(tokens, bounds)), *map(signed, lows), binary(first, at * 8), binary(bits, bit_at)], names=["_key", "n", "sid", "low0", "low1", "low2", "first", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), signed(set_ids(tokens, bounds)), pa.array(common), *map(signed, lows), binary(first, at * KEY_BYTES), binary(bits, bit_at)], names=["_key", "n", "sid", "common", "low0", "low1", "low2", "first", "bits"])
 
-    return docs.mapInArrow(run, f"_key {docs.schema['_key'].dataType.simpleString()}, n long, sid long, low0 long, low1 long, low2 long, first binary, bits binary")
+    return docs.mapInArrow(run, f"_key {docs.schema['_key'].dataType.simpleString()}, n long, sid long, common double, low0 long, low1 long, low2 long, first binary, bits binary")
 
 
-def _tokens(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _tokens(docs: DataFrame, wanted: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
     """(sid, tokens) of the wanted (sid, rep) sets. A filter of fixed size keeps most other texts from being read as words."""
-    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    words = wanted.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).collect()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[[r["w"] for r in words]] = [r["v"] for r in words]
-    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
+    near = filters.mark(docs.select("_key", "_text"), F.xxhash64("_key"), wanted, F.xxhash64("rep"), scratch, name).where("_maybe").select("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(sent.value[batch.column(0).to_numpy()]))
-            for _, _, data, offsets in kernel.slices(batch.column(1)):
+            for _, _, data, offsets in kernel.slices(batch.column(0)):
                 tokens, bounds = shingle_sets(data, offsets, n)
                 yield pa.RecordBatch.from_arrays([signed(set_ids(tokens, bounds)), binary(tokens, bounds * 8)], names=["sid", "tokens"])
 
-    read = docs.select(F.pmod(F.xxhash64("_key"), F.lit(FILTER_BITS)).cast("int").alias("b"), "_text").mapInArrow(run, "sid long, tokens binary")
+    read = near.mapInArrow(run, "sid long, tokens binary")
     return read.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
@@ -228,9 +236,15 @@ def _with(pairs: DataFrame, what: DataFrame, side: str, *columns: str) -> DataFr
 
 
 def _candidates(sets: DataFrame, tasks: int, percent: int) -> DataFrame:
-    """(sid, gid): the set shares a first token with a member of that group, sizes allow a link, and
-    the two aren't connected yet. sets: sid, n, first, label, gid."""
+    """(a, b): set a shares a first token with a member of group b, and sizes and places of the token
+    allow the two to link; they aren't connected yet. sets: sid, n, first, label, gid.
+
+    If the token is the first that two sets of n and m share, at places i and j of their orders, they
+    share min(n - i, m - j) at most; so a pair is dropped here only if it would be dropped at its
+    first shared token, too. Of a lone set and a larger group only the set asks for the group, of
+    two sets of one kind only the one with the smaller label."""
     parts = 4 * tasks
+    kinds = (np.uint8, np.uint16, np.uint16, np.int64, np.uint32, np.uint16, np.int64, np.int64)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,67 +252,65 @@ def _candidates(sets: DataFrame, tasks: int, percent: int) -> DataFrame:
                 piece = batch.slice(start, 4000)
                 first = piece.column(2).cast(pa.large_binary())
                 offsets = np.frombuffer(first.buffers()[1], np.int64)[first.offset : first.offset + len(first) + 1]
-                keys = np.frombuffer(first.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
-                owner = np.repeat(np.arange(len(first)), np.diff(offsets) // 8).astype(np.uint16)
-                part = ((kernel.mix(keys) >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+                keys = np.frombuffer(first.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, KEY_BYTES)
+                length = np.diff(offsets) // KEY_BYTES
+                owner = np.repeat(np.arange(len(first)), length)
+                place = np.minimum(np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length), 65535)
+                part = ((kernel.mix(prefix_keys(keys.ravel())) >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                keys, owner, part = keys[order], owner[order], part[order]
+                keys, owner, place, part = keys[order], owner[order], place[order], part[order]
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
                 table = np.stack([piece.column(k).to_numpy() for k in (0, 1, 3, 4)])
                 rows = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     who, index = np.unique(owner[a:b], return_inverse=True)
                     sid, n, label, gid = table[:, who]
-                    odd = np.flatnonzero(gid != sid).astype(np.uint16)
-                    rows.append((part[a], keys[a:b].tobytes(), index.astype(np.uint16).tobytes(), sid.tobytes(), n.astype(np.uint32).tobytes(), odd.tobytes(), label[odd].tobytes(), gid[odd].tobytes()))
-                columns = list(zip(*rows, strict=True)) or [[] for _ in range(8)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=list("pkisnolg"))
+                    odd = np.flatnonzero((gid != sid) | (label != sid))
+                    columns = (keys[a:b], index, place[a:b], sid, n, odd, label[odd], gid[odd])
+                    rows.append((part[a], *(np.ascontiguousarray(c.astype(k)).tobytes() for c, k in zip(columns, kinds, strict=True))))
+                columns = list(zip(*rows, strict=True)) or [[] for _ in range(9)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["p", *(f"c{k}" for k in range(8))])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[] for _ in range(5)]
+        got: list[list[np.ndarray]] = [[] for _ in range(7)]
         for batch in batches:
-            for _, k, i, s, n, o, lab, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                index, sid, odd = np.frombuffer(i, np.uint16), np.frombuffer(s, np.int64), np.frombuffer(o, np.uint16)
-                label, gid = sid.copy(), sid.copy()
-                label[odd], gid[odd] = np.frombuffer(lab, np.int64), np.frombuffer(g, np.int64)
-                for to, x in zip(got, (np.frombuffer(k, np.uint64), sid[index], np.frombuffer(n, np.uint32).astype(np.int64)[index], label[index], gid[index]), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                raw, index, place, sid, n, odd, labels, gids = (np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True))
+                label, gid, lone = sid.copy(), sid.copy(), np.ones(len(sid), bool)
+                label[odd], gid[odd], lone[odd] = labels, gids, False
+                for to, x in zip(got, (prefix_keys(raw), place.astype(np.int64), sid[index], n.astype(np.int64)[index], label[index], gid[index], lone[index]), strict=True):
                     to.append(x)
         if not got[0]:
             return
-        key, sid, n, label, gid = map(np.concatenate, got)
+        key, place, sid, n, label, gid, lone = map(np.concatenate, got)
         order = np.argsort(key, kind="stable")
         key = key[order]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        many = np.flatnonzero(np.diff(cuts) > 1)
         found: list[np.ndarray] = []
         held = 0
-        for c in many:
+        for c in np.flatnonzero(np.diff(cuts) > 1):
             at = order[cuts[c] : cuts[c + 1]]
-            lab = label[at]
-            if (lab == lab[0]).all():
+            if (label[at] == label[at[0]]).all():
                 continue
-            groups, which = np.unique(gid[at], return_inverse=True)
-            low, high = np.full(len(groups), 1 << 62), np.zeros(len(groups), np.int64)
-            np.minimum.at(low, which, n[at])
-            np.maximum.at(high, which, n[at])
-            of = np.zeros(len(groups), np.int64)
-            of[which] = lab
-            for a in range(0, len(at), 1024):  # a block of queries against all groups of the token
-                q = at[a : a + 1024]
-                ok = (of[None, :] != label[q][:, None]) & (low[None, :] * percent <= n[q][:, None] * 100) & (high[None, :] * 100 >= n[q][:, None] * percent)
+            for a in range(0, len(at), 512):  # a block of sets against all others of the token
+                q = at[a : a + 512]
+                shared = np.minimum((n[q] - place[q])[:, None], (n[at] - place[at])[None, :])
+                ok = shared * (100 + percent) >= percent * (n[q][:, None] + n[at][None, :])
+                ok &= (lone[q][:, None] & ~lone[at][None, :]) | ((lone[q][:, None] == lone[at][None, :]) & (label[q][:, None] < label[at][None, :]))
                 x, y = np.nonzero(ok)
-                found.append(np.column_stack([sid[q][x], groups[y]]))
-                held += len(x)
-                if held > 2_000_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    if (held := len(found[0])) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["a", "b"])
-                        found, held = [], 0
+                if len(x):
+                    found.append(np.unique(np.column_stack([sid[q][x], gid[at][y]]), axis=0))
+                    held += len(found[-1])
+            if held > 2_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if (held := len(found[0])) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["a", "b"])
+                    found, held = [], 0
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    packed = sets.select("sid", "n", "first", "label", "gid").mapInArrow(pack, "p int, k binary, i binary, s binary, n binary, o binary, l binary, g binary")
+    packed = sets.select("sid", "n", "first", "label", "gid").mapInArrow(pack, "p int, " + ", ".join(f"c{k} binary" for k in range(8)))
     return packed.repartition(tasks, "p").mapInArrow(match, "a long, b long").distinct()
 
 
@@ -320,19 +332,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     docs = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
     profiles = scratch.write(_profiles(docs, n, percent, _sketch(docs, n)), "profiles")
     rows = scratch.write(profiles.select("_key", "n", "sid"), "rows")
-    sets = profiles.where("n > 0").groupBy("sid").agg(F.min("_key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "low0", "low1", "low2", "first", "bits")))
+    sets = profiles.where("n > 0").groupBy("sid").agg(F.min("_key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "common", "low0", "low1", "low2", "first", "bits")))
     sets = scratch.write(sets, "sets")
     scratch.drop("profiles")
 
     tries = None
     for low in ("low0", "low1", "low2"):
-        heads = sets.groupBy(low).agg(F.min("sid").alias("b"), F.count("*").alias("c")).where("c > 1").select(low, "b")
+        heads = sets.groupBy(low).agg(F.max(F.struct("common", "sid")).alias("h"), F.count("*").alias("c")).where("c > 1").select(low, F.col("h.sid").alias("b"))
         pairs = sets.join(heads, low).select(F.col("sid").alias("a"), "b").where("a <> b")
         tries = pairs if tries is None else tries.union(pairs)
     tries = _with(_with(tries.distinct(), sets, "a", "n", "bits"), sets, "b", "n", "bits")
     tries = scratch.write(_bounded(tries, percent), "tries")
     wanted = sets.join(tries.select(F.col("a").alias("sid")).union(tries.select("b")).distinct(), "sid").select("sid", "rep")
-    tokens = scratch.write(_tokens(docs, wanted, n), "tokens")
+    tokens = scratch.write(_tokens(docs, wanted, n, scratch, "filter-1"), "tokens")
     near = scratch.write(_linked(_with(_with(tries, tokens, "a", "tokens"), tokens, "b", "tokens"), percent), "near")
     groups = connected_components(near, scratch, "groups")
 
@@ -340,22 +352,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     blocks = groups.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("label"), F.when(F.col("c") <= BLOCK, F.col("component")).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))).alias("gid"))
     blocks = scratch.write(blocks, "blocks")
     scratch.drop("tokens", "tries")
-    placed = sets.join(blocks, "sid", "left").withColumns({"label": F.coalesce("label", "sid"), "gid": F.coalesce("gid", "sid")})
+    marked = filters.mark(sets, F.col("sid"), blocks, F.col("sid"), scratch, "filter")
+    lone = marked.where("not _maybe").drop("_maybe").withColumns({"label": F.col("sid"), "gid": F.col("sid")})
+    placed = marked.where("_maybe").drop("_maybe").join(blocks, "sid", "left").withColumns({"label": F.coalesce("label", "sid"), "gid": F.coalesce("gid", "sid")}).unionByName(lone)
     total = sets.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // TASK_TOKENS + 1)
     pairs = scratch.write(_candidates(placed, tasks, percent), "pairs")
 
     of = sets.select("sid", "n", "rep", "bits").join(blocks, "sid", "left").withColumn("gid", F.coalesce("gid", "sid"))
-    unions = _unions(of.join(pairs.select(F.col("b").alias("gid")).distinct(), "gid", "left_semi").where("gid <> sid or label is not null"))
-    unions = scratch.write(unions.union(sets.join(blocks, "sid", "left_anti").select("sid", "bits").join(pairs.select(F.col("b").alias("sid")).distinct(), "sid", "left_semi")), "unions")
-    opened = _with(_with(pairs, sets, "a", "n", "bits"), unions.withColumn("n", F.lit(None).cast("long")), "b", "n", "bits")
+    asked = pairs.select(F.col("b").alias("gid")).distinct()
+    unions = _unions(of.where("label is not null").join(asked, "gid", "left_semi")).withColumn("n", F.lit(None).cast("long"))
+    lone = of.where("label is null").join(asked, "gid", "left_semi").select("sid", "bits", "n")
+    unions = scratch.write(unions.unionByName(lone), "unions")
+    opened = _with(_with(pairs, sets, "a", "n", "bits"), unions, "b", "n", "bits")
     opened = scratch.write(_bounded(opened, percent), "opened")
     inside = opened.withColumnRenamed("b", "gid").join(of.select("gid", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits")), "gid")
     inside = _with(inside, sets, "a", "n", "bits").where(f"an * {percent} <= bn * 100 and bn * {percent} <= an * 100")
     inside = _bounded(inside, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     inside = scratch.write(inside, "inside")
     wanted = sets.join(inside.select(F.col("a").alias("sid")).union(inside.select("b")).distinct(), "sid").select("sid", "rep")
-    tokens = scratch.write(_tokens(docs, wanted, n), "tokens-2")
+    tokens = scratch.write(_tokens(docs, wanted, n, scratch, "filter-2"), "tokens-2")
     far = scratch.write(_linked(_with(_with(inside, tokens, "a", "tokens"), tokens, "b", "tokens"), percent), "far")
     scratch.drop("tokens-2", "pairs", "opened", "unions")
 
