@@ -173,7 +173,7 @@ def train(features_of: DataFrame, labels: DataFrame, usable: Column, key: str =
     """Fits on labelled rows for which usable holds, a column over key; at most `most` rows, by hash of the key."""
     marked = labels.select(labels[key].alias("_key"), labels[label].cast("double").alias("y")).where("y is not null").distinct()
     rows = features_of.where(usable).join(marked, F.col(key) == F.col("_key")).select("x", "y", F.xxhash64(key).alias("o"), key).orderBy("o", key).limit(most).toPandas()
-    return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), -1), rows["y"].to_numpy(float))
+    return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(float))
 
 
 def score(features_of: DataFrame, model: Gam) -> DataFrame:
