@@ -372,6 +372,45 @@ def conditional_balance(p: Project) -> DataFrame:
     return lost.union(found(open_.withColumn("_one", F.lit(1)), "W227", "conditional directive is not closed with #endif", col="_one", seq="i"))
 
 
+def params_shapes(p: Project) -> DataFrame:
+    """Shapes that params can't take. Files that define macros are left alone: a macro may change the shape."""
+    macros = p.tokens.where("type = 'preprocessor' and rlike(lower(value), '^define\\b')").select("file").distinct()
+    heads = p.sig.where("type in ('ident','keyword') and v = 'params'").join(macros, "file", "left_anti")
+    bare = found(heads.where("not coalesce(n1t in ('lbracket','local','ident'), false)"), "W217", "params expects an array of parameter declarations")
+    parts = structure.items(p.sig)
+    lists = parts.join(heads.select("file", (F.col("s") + 1).alias("s"), F.col("line").alias("_l"), F.col("col").alias("_c")), ["file", "s"])
+    named = found(lists.where("type = 'string' and value <> '' and not startswith(value, '_')"), "W217", "params names must be local variables")
+    kinds = found(lists.where("type not in ('string','lbracket')"), "W217", "params declarations must be variable names or [name, default] arrays")
+    nested = lists.where("type = 'lbracket'").select("file", F.col("line").alias("l"), F.col("col").alias("c"))
+    opens = p.sig.where("type = 'lbracket'").select("file", "s", F.col("line").alias("l"), F.col("col").alias("c"))
+    inner = nested.join(opens, ["file", "l", "c"]).join(parts.select("file", "s", "item", "size", "type", "value", "line", "col"), ["file", "s"], "left")
+    by = inner.groupBy("file", "s", "l", "c").agg(F.max("size").alias("size"), F.max(F.when(F.col("item") == 0, F.struct("type", "value"))).alias("a"), F.max(F.when(F.col("item") == 2, F.struct("type", "line", "col"))).alias("v"))
+    lone = found(by.where("not coalesce(a.type = 'string' and startswith(a.value, '_'), false) and not coalesce(a.type = 'lbracket', false)"), "W217", "params declaration must start with a local variable name", "l", "c")
+    long = found(by.where("size > 4"), "W217", "params declaration has too many fields", "l", "c")
+    odd = by.where("size in (3, 4) and not coalesce(v.type = 'lbracket', false)").withColumns({"_l": F.coalesce("v.line", "l"), "_c": F.coalesce("v.col", "c")})
+    return bare.union(named).union(kinds).union(lone).union(long).union(found(odd, "W217", "params validators must be an array", "_l", "_c"))
+
+
+def argument_counts(p: Project, signatures: DataFrame) -> DataFrame:
+    """Calls of known functions with an array of more items than they take. signatures: name (lower case), most."""
+    calls = p.sig.where("type = 'keyword' and v in ('call','spawn') and n1t = 'ident' and p1t = 'rbracket'").select("file", (F.col("s") - 1).alias("close"), "n1v", "n1value", "n1line", "n1col")
+    sizes = structure.items(p.sig).groupBy("file", "close").agg(F.max("size").alias("size"))
+    both = calls.join(sizes, ["file", "close"]).join(signatures.select(F.col("name").alias("n1v"), "most"), "n1v")
+    return found(both.where("size > most").withColumn("s", F.col("close")), "W204", F.concat("n1value", F.lit(" received "), F.col("size").cast("string"), F.lit(" argument(s), signature has "), F.col("most").cast("string")), "n1line", "n1col")
+
+
+def nested_selects(p: Project) -> DataFrame:
+    """(parameter select index) select n with n over 0: the inner element may be too short."""
+    names = _local_declarations(p).join(p.sig.where("v = 'params'").select("file", F.col("s").alias("key")), ["file", "key"], "left_semi").select("file", F.col("name").alias("first")).distinct()
+    sig = p.sig
+    outer = sig.where("type = 'keyword' and v = 'select' and n1t = 'number' and p1t = 'rparen' and coalesce(try_cast(n1v as double), 0) >= 1").select("file", (F.col("s") - 1).alias("close"), "line", "col", "s")
+    spans = structure.bracket_pairs(sig).withColumnRenamed("s", "open").join(outer.drop("s"), ["file", "close"])
+    first = sig.where("type = 'local' and p1t = 'lparen'").select("file", (F.col("s") - 1).alias("open"), F.col("v").alias("first"))
+    inner = sig.where("type = 'keyword' and v = 'select' and not coalesce(n1t in ('number','lbrace'), true)").select("file", F.col("s").alias("at"))
+    hit = spans.join(first, ["file", "open"]).join(names, ["file", "first"], "left_semi").join(inner, "file").where("at > open + 1 and at < close")
+    return found(hit.withColumn("s", F.col("close") + 1).distinct(), "W233", "dynamic nested select on a parameter may index an empty or short array element; guard its length")
+
+
 def trailing_blanks(p: Project) -> DataFrame:
     lines = p.sources.select("file", F.posexplode(lines_of(F.col("text"))).alias("n", "text")).where("rlike(text, '[ \\t]$')")
     at = lines.select("file", (F.col("n") + 1).alias("line"), (F.length(without_trailing_blanks(F.col("text"))) + 1).alias("col"), F.col("n").alias("s"))
@@ -388,7 +427,7 @@ def tabs(p: Project) -> DataFrame:
 RULES: list[Callable[[Project], DataFrame]] = [
     conditional_balance, postfix_commands, missing_then, bad_else, reversed_loops, missing_commas, unended_blocks, trailing_commas, brackets, unterminated_strings,
     constant_conditions, duplicate_definitions, overwritten_definitions, unused_locals, shadowed_locals, unknown_calls, value_calls, unknown_commands,
-    namespace_operations, event_handlers, remote_calls, public_variables, unsaved_handles, overwritten_values, repeated_constants, empty_selects, trailing_blanks, tabs,
+    params_shapes, nested_selects, namespace_operations, event_handlers, remote_calls, public_variables, unsaved_handles, overwritten_values, repeated_constants, empty_selects, trailing_blanks, tabs,
 ]
 
 
