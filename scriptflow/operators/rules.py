@@ -160,11 +160,11 @@ def bad_else(p: Project) -> DataFrame:
 
 
 def missing_commas(p: Project) -> DataFrame:
-    """Two literals side by side within a matched array; each array reports its first, and equal findings merge."""
-    sides = p.sig.where("type in ('number','string') and n1t in ('number','string')").select("file", F.col("s").alias("at"), "n1line", "n1col")
-    arrays = structure.bracket_pairs(p.sig).join(p.sig.where("type = 'lbracket'").select("file", "s"), ["file", "s"])
-    hit = arrays.join(sides, "file").where("at > s and at + 1 < close").groupBy("file", "s").agg(F.min(F.struct("at", "n1line", "n1col")).alias("f"))
-    return found(hit.select("file", "f.at", "f.n1line", "f.n1col").distinct(), "E006", "missing comma between array elements", "n1line", "n1col", "at")
+    """Two literals side by side within a matched array; each array reports its first. So a place counts if
+    no earlier one lies within the innermost array around it."""
+    sides = structure.enclosed(p.sig, ["lbracket"]).where("type in ('number','string') and n1t in ('number','string') and parent is not null and s + 1 < parent_close")
+    first = sides.withColumn("_before", F.lag("s").over(Window.partitionBy("file").orderBy("s"))).where("_before is null or _before < parent")
+    return found(first, "E006", "missing comma between array elements", "n1line", "n1col")
 
 
 def reversed_loops(p: Project) -> DataFrame:
@@ -238,29 +238,32 @@ def overwritten_definitions(p: Project) -> DataFrame:
 
 
 def _local_declarations(p: Project) -> DataFrame:
-    """Locals declared by private or params, one name or an array of names: file, s, name, value, line, col, path, key (position of the keyword)."""
-    sig = structure.scoped(p.sig)
-    lone = sig.where("p1t = 'keyword' and p1v in ('private','params') and type = 'local'").select("file", "s", F.col("v").alias("name"), "value", "line", "col", "path", (F.col("s") - 1).alias("key"))
+    """Locals declared by private or params, one name or an array of names: file, s, name, value, line, col,
+    key (position of the keyword), scope and scope_end (the innermost braces; null at the top)."""
+    sig = structure.enclosed(p.sig, ["lbrace"])
+    place = ["file", F.col("parent").alias("scope"), F.col("parent_close").alias("scope_end"), (F.col("s") - 1).alias("key")]
+    lone = sig.where("p1t = 'keyword' and p1v in ('private','params') and type = 'local'").select(*place, "s", F.col("v").alias("name"), "value", "line", "col")
     lists = structure.items(p.sig).where("type = 'string' and startswith(value, '_') and n = 1")
-    heads = sig.where("type = 'lbracket' and p1t = 'keyword' and p1v in ('private','params')").select("file", "s", "path", (F.col("s") - 1).alias("key"))
-    listed = lists.join(heads, ["file", "s"]).select("file", (F.col("s") + F.col("item")).alias("s"), F.col("v").alias("name"), "value", "line", "col", "path", "key")
+    heads = sig.where("type = 'lbracket' and p1t = 'keyword' and p1v in ('private','params')").select(*place, "s")
+    listed = lists.join(heads, ["file", "s"]).withColumn("at", F.col("s") + F.col("item")).select("file", "scope", "scope_end", "key", F.col("at").alias("s"), F.col("v").alias("name"), "value", "line", "col")
     return lone.unionByName(listed)
 
 
 def unused_locals(p: Project) -> DataFrame:
-    """Declared locals that no later token of their scope, or of one within, reads. Files with includes are left alone."""
+    """Declared locals that no later token within their braces reads. Files with includes are left alone."""
     including = p.tokens.where("type = 'preprocessor' and lower(value) like 'include%'").select("file").distinct()
     made = _local_declarations(p).where("name not in ('_x','_this','_thisargs')").join(including, "file", "left_anti")
-    uses = structure.scoped(p.sig).where("type = 'local'").select("file", F.col("v").alias("name"), F.col("s").alias("use"), F.col("path").alias("at"))
-    headers = p.sig.where("type = 'keyword' and v = 'for' and n1t = 'string'").select("file", F.col("n1v").alias("name"), F.col("s").alias("use"), F.lit(None).cast("array<int>").alias("at"))
-    all_uses = uses.unionByName(headers)
-    free = made.alias("d").join(all_uses.alias("u"), (F.col("d.file") == F.col("u.file")) & (F.col("d.name") == F.col("u.name")) & (F.col("u.use") > F.col("d.s")) & (F.col("u.at").isNull() | (F.slice("u.at", F.lit(1), F.size("d.path")) == F.col("d.path"))), "left_anti")
+    uses = p.sig.where("type = 'local'").select("file", F.col("v").alias("name"), F.col("s").alias("use"), F.lit(False).alias("header"))
+    headers = p.sig.where("type = 'keyword' and v = 'for' and n1t = 'string'").select("file", F.col("n1v").alias("name"), F.col("s").alias("use"), F.lit(True).alias("header"))
+    every = uses.unionByName(headers)
+    read = (F.col("u.use") > F.col("d.s")) & (F.col("u.header") | F.col("d.scope_end").isNull() | (F.col("u.use") < F.col("d.scope_end")))
+    free = made.alias("d").join(every.alias("u"), (F.col("d.file") == F.col("u.file")) & (F.col("d.name") == F.col("u.name")) & read, "left_anti")
     return found(free, "W209", F.concat(F.lit("unused local variable: "), "value"))
 
 
 def shadowed_locals(p: Project) -> DataFrame:
     """A local declared again in the same scope."""
-    w = Window.partitionBy("file", "path", "name").orderBy("key", "s")
+    w = Window.partitionBy("file", "scope", "name").orderBy("key", "s")
     again = _local_declarations(p).withColumn("r", F.row_number().over(w)).where("r > 1")
     at = again.join(p.sig.select("file", F.col("s").alias("key"), F.col("line").alias("_l"), F.col("col").alias("_c")), ["file", "key"])
     return found(at, "W215", F.concat(F.lit("local declaration shadows or duplicates "), "value"), "_l", "_c")

@@ -69,31 +69,40 @@ def statements(sig: DataFrame) -> DataFrame:
     return out.withColumn("at", F.row_number().over(Window.partitionBy("file", "stmt").orderBy("s")))
 
 
-def scoped(sig: DataFrame) -> DataFrame:
-    """Adds path, the opening braces around a token from the outermost on, and depth.
+def enclosed(sig: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Adds parent, the innermost matched opener around a token, and parent_close; null at the top.
+    kinds: the openers that count, all without it.
 
-    Braces at one depth alternate between opening and closing there, so the scope around a token
-    at each depth is the last brace opened at that depth; the path is gathered from a map of these.
+    Levels count matched brackets only, so they are well nested; the opener around a token is the
+    last one before it that opened the token's level. That is one window, whatever the nesting.
     """
-    pairs = bracket_pairs(sig.where(F.col("type").isin("lbrace", "rbrace")))
-    braces = pairs.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("s", "close"))).alias("_braces"))
-    around = F.transform(F.filter("_braces", lambda b: (b["s"] < F.col("s")) & (b["close"] > F.col("s"))), lambda b: b["s"])
-    out = sig.join(braces, "file", "left").withColumn("path", F.coalesce(around, F.array().cast("array<int>"))).drop("_braces")
-    return out.withColumn("depth", F.size("path"))
+    of = kinds or OPENERS
+    counted = sig.where(F.col("type").isin(*of, *(f"r{k[1:]}" for k in of))) if kinds else sig
+    pairs = bracket_pairs(counted)
+    steps = pairs.join(sig.where(F.col("type").isin(*of)).select("file", "s"), ["file", "s"], "left_semi")
+    marks = steps.select("file", "s", F.lit(1).alias("_d"), F.col("close").alias("_c")).unionByName(steps.select("file", F.col("close").alias("s"), F.lit(-1).alias("_d"), F.lit(None).cast("int").alias("_c")))
+    w = Window.partitionBy("file").orderBy("s")
+    t = sig.join(marks, ["file", "s"], "left")
+    t = t.withColumn("_run", F.coalesce(F.sum("_d").over(w), F.lit(0)))
+    t = t.withColumn("_out", F.when(F.col("_d") == 1, F.col("_run") - 1).otherwise(F.col("_run")))
+    opened = F.struct(F.col("s").alias("s"), F.col("_c").alias("close"))
+    # a row for each token at the level around it, and one for each opener at the level within it
+    both = t.withColumn("_at", F.explode(F.when(F.col("_d") == 1, F.array(F.struct(F.col("_out").alias("l"), F.lit(False).alias("o")), F.struct((F.col("_out") + 1).alias("l"), F.lit(True).alias("o")))).otherwise(F.array(F.struct(F.col("_out").alias("l"), F.lit(False).alias("o"))))))
+    around = Window.partitionBy("file", "_at.l").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("_p", F.last(F.when(F.col("_at.o"), opened), ignorenulls=True).over(around)).where("not _at.o")
+    placed = placed.withColumn("_p", F.when(F.col("_out") > 0, F.col("_p")))
+    return placed.withColumns({"parent": F.col("_p.s"), "parent_close": F.col("_p.close")}).drop("_d", "_c", "_run", "_out", "_at", "_p")
 
 
 def items(sig: DataFrame) -> DataFrame:
     """Top-level items of matched square brackets: file, s (opener), close, item (from 0), size (number of
-    items), first type/value/position of each item. An array without tokens has no items."""
-    pairs = bracket_pairs(sig)
-    w = Window.partitionBy("file").orderBy("s")
-    level = F.sum(F.when(F.col("type").isin(*OPENERS), 1).when(F.col("type").isin(*CLOSERS), -1).otherwise(0)).over(w)
-    flat = sig.select("file", "s", "type", "v", "value", "line", "col", F.when(F.col("type").isin(*OPENERS), level - 1).otherwise(level).alias("level"))
-    arrays = pairs.join(flat.where("type = 'lbracket'").select("file", "s", F.col("level").alias("base")), ["file", "s"]).withColumnRenamed("s", "open")
-    inner = flat.join(arrays, "file").where("s > open and s < close and level >= base + 1")
-    of = Window.partitionBy("file", "open").orderBy("s")
-    cut = (F.col("type") == "comma") & (F.col("level") == F.col("base") + 1)
-    numbered = inner.withColumns({"item": F.sum(cut.cast("int")).over(of), "_cut": cut})
-    lone = numbered.where("not _cut").groupBy("file", "open", "close", "item").agg(F.min(F.struct("s", "type", "v", "value", "line", "col")).alias("f"), F.count("*").alias("n"))
-    size = numbered.groupBy("file", "open").agg((F.max("item") + 1).alias("size"))
-    return lone.join(size, ["file", "open"]).select("file", F.col("open").alias("s"), "close", "item", "size", F.col("f.type").alias("type"), F.col("f.v").alias("v"), F.col("f.value").alias("value"), F.col("f.line").alias("line"), F.col("f.col").alias("col"), "n")
+    items), type, value and place of the item's first token, and n, its tokens that aren't within further brackets.
+    An array without tokens has no items."""
+    arrays = sig.where("type = 'lbracket'").select("file", F.col("s").alias("parent"))
+    inner = enclosed(sig).join(arrays, ["file", "parent"], "left_semi").where("s < parent_close")
+    of = Window.partitionBy("file", "parent").orderBy("s")
+    numbered = inner.withColumns({"_cut": F.col("type") == "comma", "item": F.sum((F.col("type") == "comma").cast("int")).over(of)})
+    numbered = numbered.withColumn("size", F.max("item").over(Window.partitionBy("file", "parent")) + 1)
+    closers = F.col("type").isin(*CLOSERS)
+    lone = numbered.where("not _cut").groupBy("file", "parent", "parent_close", "item", "size").agg(F.min(F.struct("s", "type", "v", "value", "line", "col")).alias("f"), F.sum((~closers).cast("int")).alias("n"))
+    return lone.select("file", F.col("parent").alias("s"), F.col("parent_close").alias("close"), "item", "size", F.col("f.type").alias("type"), F.col("f.v").alias("v"), F.col("f.value").alias("value"), F.col("f.line").alias("line"), F.col("f.col").alias("col"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,13 +21,12 @@ def defined_functions(sig: DataFrame) -> DataFrame:
 
 def keyed_functions(sig: DataFrame) -> DataFrame:
     """String keys of namespace variables and event handlers whose arguments hold code before the first closing bracket."""
-    heads = sig.where("type = 'ident' and n1t = 'lbracket' and n2t = 'string'").where(F.col("v").isin("setvariable", *EVENT_COMMANDS))
-    heads = heads.select("file", F.col("s").alias("at"), "v", F.col("n2v").alias("key"))
-    ends = sig.where("type = 'rbracket'").select("file", F.col("s").alias("end"))
-    spans = heads.join(ends, "file").where("end > at").groupBy("file", "at", "v", "key").agg(F.min("end").alias("end"))
-    code = sig.where((F.col("type") == "lbrace") | F.col("v").isin(*COMPILERS)).select("file", F.col("s").alias("code"), F.col("type").alias("how"))
-    hit = spans.join(code, "file").where("code > at and code < end and (how = 'lbrace' or v = 'setvariable')")
-    return hit.where(F.col("key").rlike(NAME)).select("file", F.col("key").alias("v")).distinct()
+    later = Window.partitionBy("file").orderBy("s").rowsBetween(1, Window.unboundedFollowing)
+    compiler = F.col("v").isin(*COMPILERS)
+    t = sig.withColumns({"_end": F.min(F.when(F.col("type") == "rbracket", F.col("s"))).over(later), "_brace": F.min(F.when(F.col("type") == "lbrace", F.col("s"))).over(later), "_compiled": F.min(F.when(compiler, F.col("s"))).over(later)})
+    heads = t.where("type = 'ident' and n1t = 'lbracket' and n2t = 'string'").where(F.col("v").isin("setvariable", *EVENT_COMMANDS))
+    hit = heads.where("_brace < _end or (v = 'setvariable' and _compiled < _end)")
+    return hit.where(F.col("n2v").rlike(NAME)).select("file", F.col("n2v").alias("v")).distinct()
 
 
 def table_functions(sig: DataFrame) -> DataFrame:

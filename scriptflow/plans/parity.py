@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
-from ..operators import diagnostics, includes, lexer, rules, sinks, structure
+from ..operators import config_rules, diagnostics, flow, includes, lexer, preprocess, rules, sinks, structure, symbols
 from ..sources import files
 from ..streaming import watch
 from .scripts import COMMANDS, FUNCTIONS, SCRIPTS_SQL, lexed_sql, project, registry, script_sources
@@ -446,3 +446,70 @@ def plugin_todo_rule(spark, sf_dir):
         return [{"line": k, "column": line.index("forEach") + 1, "message": "loop"} for k, line in enumerate(text.split("\n"), 1) if "forEach" in line]
 
     return run_plugins(script_sources(spark, sf_dir), [PluginRule("W901", "warning", "loops", check)]).select("file", "line", "column", "code", "message")
+
+
+# Symbols, configs, preprocessing, flow
+
+@query("symbol_index", f"""{SCRIPTS_SQL}, fn AS (SELECT v AS name FROM sig WHERE type = 'ident' AND n1t = 'operator' AND n1v = '=' AND (n2t = 'lbrace' OR n2v IN ('compile', 'compilefinal') OR (n2t IN ('ident', 'local') AND contains(v, 'callback') AND contains(n2v, 'callback')))
+ UNION SELECT h.n2v FROM sig h WHERE h.type = 'ident' AND h.n1t = 'lbracket' AND h.n2t = 'string' AND h.v IN ('setvariable', 'addeventhandler') AND regexp_matches(h.n2v, '^[A-Za-z_][A-Za-z0-9_]*$') AND EXISTS (SELECT 1 FROM sig c WHERE c.file = h.file AND c.type = 'lbrace' AND c.s > h.s AND c.s < (SELECT min(e.s) FROM sig e WHERE e.file = h.file AND e.type = 'rbracket' AND e.s > h.s)))
+SELECT 'function' AS kind, name FROM fn UNION SELECT 'tag', split_part(name, '_fnc_', 1) FROM fn WHERE contains(name, '_fnc_') UNION SELECT 'macro', lower(regexp_extract(value, '(?i)^define\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM tok WHERE type = 'preprocessor' AND regexp_matches(value, '(?i)^define\\s+[A-Za-z_]')""")
+def symbol_index(spark, sf_dir):
+    p = project(spark, sf_dir)
+    return symbols.index(p.tokens, p.sig)
+
+
+_ADDONS = "SELECT 'm' || CAST(o_custkey AS VARCHAR) AS file, 'version = 1; class Mission {{}}; addOns[] = {{\"' || string_agg('a_' || o_orderstatus || CASE WHEN o_orderkey % 5 = 0 THEN ' x' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'B' END, '\",\"' ORDER BY o_orderkey) || '\"}};' AS text FROM orders GROUP BY o_custkey".replace("{{", "{").replace("}}", "}")
+
+
+@query("mission_addons", f"""WITH n AS (SELECT file, unnest(regexp_extract_all(regexp_extract(text, 'addOns\\[\\] = \\{{([^}}]*)\\}}', 1), '"([^"]+)"', 1)) AS addon FROM ({_ADDONS}))
+SELECT file, 'W212' AS code, 'duplicate mission addon: ' || lower(addon) AS message FROM n GROUP BY file, lower(addon) HAVING count(*) > 1 UNION ALL SELECT file, 'W213', 'invalid mission addon name: ' || addon FROM (SELECT n.*, row_number() OVER (PARTITION BY file, lower(addon) ORDER BY i) AS r FROM (SELECT file, unnest(l) AS addon, unnest(range(len(l))) AS i FROM (SELECT file, regexp_extract_all(regexp_extract(text, 'addOns\\[\\] = \\{{([^}}]*)\\}}', 1), '"([^"]+)"', 1) AS l FROM ({_ADDONS}))) n) WHERE r = 1 AND NOT regexp_full_match(addon, '[A-Za-z0-9_]+')""")
+def mission_addons(spark, sf_dir):
+    name = F.concat(F.lit("a_"), "o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, " x").otherwise(""), F.when(F.col("o_orderkey") % 2 == 0, "b").otherwise("B"))
+    lists = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", name.alias("n")))), lambda x: x["n"]), '","').alias("names"))
+    sources = lists.select(F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("file"), F.concat(F.lit('version = 1; class Mission {}; addOns[] = {"'), "names", F.lit('"};')).alias("text"))
+    return config_rules.addon_entries(rules.Project(sources, registry(spark))).select("file", "code", "message")
+
+
+@query("config_structure", f"""{SCRIPTS_SQL}, b AS (SELECT file, s, type, line, col, sum(CASE type WHEN 'lbrace' THEN 1 WHEN 'rbrace' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY s) AS run FROM (SELECT g.* FROM sig g WHERE NOT EXISTS (SELECT 1 FROM tok d WHERE d.file = g.file AND d.line = g.line AND d.type = 'preprocessor' AND regexp_matches(d.value, '(?i)^define')))),
+c AS (SELECT *, least(0, min(run) OVER (PARTITION BY file ORDER BY s)) AS low FROM b), e AS (SELECT *, run - low AS level, coalesce(lag(low) OVER (PARTITION BY file ORDER BY s), 0) AS low0 FROM c), f AS (SELECT *, min(level) OVER (PARTITION BY file ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e)
+SELECT file, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS "column", 'unmatched ''}}'' in config' AS message FROM f WHERE type = 'rbrace' AND low < low0 UNION ALL SELECT file, CAST(line AS BIGINT), CAST(col AS BIGINT), 'unclosed ''{{'' in config' FROM f WHERE type = 'lbrace' AND coalesce(later >= level, true)""")
+def config_structure(spark, sf_dir):
+    return config_rules.structure(project(spark, sf_dir)).select("file", "line", "column", "message")
+
+
+@query("preprocess_scripts")
+def preprocess_scripts(spark, sf_dir):
+    """Combined texts by line; a fold with state has no SQL form."""
+    return preprocess.preprocess(project(spark, sf_dir)).select("file", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+
+@query("directive_rules")
+def directive_rules(spark, sf_dir):
+    return preprocess.directive_rules(project(spark, sf_dir))
+
+
+@query("flow_rules")
+def flow_rules(spark, sf_dir):
+    """Unreachable code and locals that may be undefined; the parser has no SQL form."""
+    return flow.flow_rules(project(spark, sf_dir))
+
+
+@query("streaming_changed_files")
+def streaming_changed_files(spark, sf_dir):
+    """Findings of a stream over the made scripts as one batch of arriving files."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sources = script_sources(spark, sf_dir).withColumns({"mtime_ns": F.lit(1).cast("bigint"), "size": F.length("text").cast("bigint")})
+    sources.write.parquet(f"{base}/in")
+    lint = lambda s: rules.trailing_blanks(rules.Project(s, registry(spark)))
+    watch.lint_stream(spark, f"{base}/in", "file string, text string, mtime_ns bigint, size bigint", lint, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("file", "line", "column", "message")
+
+
+ORACLES["streaming_changed_files"] = f"{SCRIPTS_SQL} SELECT file, CAST(n AS BIGINT) AS line, CAST(length(rtrim(text, ' ' || chr(9))) + 1 AS BIGINT) AS \"column\", 'trailing whitespace at character ' || CAST(length(rtrim(text, ' ' || chr(9))) + 1 AS VARCHAR) AS message FROM ({_LINES}) WHERE text <> rtrim(text, ' ' || chr(9))"
