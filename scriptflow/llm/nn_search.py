@@ -33,13 +33,13 @@ from .embedding_dedup import matrix, usable
 from .scratch import Scratch
 
 #: Entries of a node's list, and nodes listing it that take part around it, at most.
-NEIGHBOURS, REVERSE = 40, 40
+NEIGHBOURS, REVERSE = 48, 48
 #: Trees and leaf size of the start; entries that each leaf gives.
 TREES, LEAF, START = 6, 400, 24
 #: Rounds end when a smaller share of entries changes, or after so many.
 SETTLED, ROUNDS = 0.02, 8
 #: Best nodes that a search keeps, and expands at once.
-BEAM, EXPAND, SEARCH_ROUNDS = 80, 40, 6
+BEAM, EXPAND, SEARCH_ROUNDS = 96, 48, 6
 #: Nodes of a block, about.
 BLOCK = 4_096
 
@@ -300,19 +300,27 @@ def _search(state: DataFrame, total: int, scratch: Scratch) -> DataFrame:
                 continue
             node, _, ids, _, _ = kinds[_STATE]
             listed, by = kinds.get(_LISTING, (np.empty(0, np.int64), np.empty(0, np.int64)))
+            order = np.lexsort((by * 2654435761 % 1_000_003, listed))  # of those that list a node, a sample by hash
+            listed, by = listed[order], by[order]
+            few = np.arange(len(listed)) - np.searchsorted(listed, listed) < REVERSE
             have = ids.reshape(len(node), -1) >= 0
-            start = np.concatenate([np.repeat(node, have.sum(1)), listed])
-            end = np.concatenate([ids[ids >= 0], by])
-            order = np.lexsort((end * 2654435761 % 1_000_003, start))
+            start = np.concatenate([np.repeat(node, have.sum(1)), listed[few]])
+            end = np.concatenate([ids[ids >= 0], by[few]])
+            order = np.argsort(start, kind="stable")
             start, end = start[order], end[order]
             query, x, worst, counts, wanted = kinds[_ASK]
             x, out = x.reshape(len(query), -1), _Rows()
             owner = np.repeat(np.arange(len(query)), counts)
-            first, last = np.searchsorted(start, wanted), np.searchsorted(start, wanted, "right")
-            n = last - first
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-            pair = np.unique(np.column_stack([np.repeat(owner, n), end[at]]), axis=0)
-            _send_grouped(out, _SCORE, pair[:, 0], pair[:, 1], pair[:, 1], query, x, worst, block_of)
+            first, n = np.searchsorted(start, wanted), np.searchsorted(start, wanted, "right") - np.searchsorted(start, wanted)
+            cuts = np.searchsorted(owner, np.arange(0, len(query) + 1, 256))
+            for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):  # some queries at a time
+                if a == b:
+                    continue
+                size = n[a:b]
+                at = np.repeat(first[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                pair = np.unique(np.repeat(owner[a:b], size) * total + end[at])
+                _send_grouped(out, _SCORE, pair // total, pair % total, pair % total, query, x, worst, block_of)
+                yield out.batch()
             yield out.batch()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
