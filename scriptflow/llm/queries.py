@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, license_scan, lm_scoring, ngram_jaccard, nn_search, quality_gam, sentencepiece_codec, source_mix, substring_dedup, toxicity
+from . import embedding_dedup, license_scan, lm_scoring, ngram_jaccard, nn_search, oracles, quality_gam, sentencepiece_codec, source_mix, substring_dedup, toxicity
 
 #: The tokenizer file; its folder can be set, the file is never copied.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -43,7 +43,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", F.get("positions", 0).alias("position"))
+    return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, keys: list[str]) -> DataFrame:
@@ -100,7 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_nn_search": op10_nn_search,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -108,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(oracles.ORACLES)
