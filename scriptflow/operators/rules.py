@@ -95,14 +95,24 @@ class Project:
 
     sources: DataFrame
     registry: DataFrame
+    #: Keeps the token tables for rules that read them several times; release() gives them back.
+    keep: bool = False
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return lexer.tokens(self.sources)
+        made = lexer.tokens(self.sources)
+        return made.persist() if self.keep else made
 
     @cached_property
     def sig(self) -> DataFrame:
-        return lexer.significant(self.tokens)
+        made = lexer.significant(self.tokens)
+        return made.persist() if self.keep else made
+
+    def release(self) -> None:
+        """Frees kept tables. What still refers to them is computed anew."""
+        for name in ("tokens", "sig"):
+            if self.keep and name in self.__dict__:
+                self.__dict__[name].unpersist()
 
     def known(self, kinds: Iterable[str]) -> DataFrame:
         return self.registry.where(F.col("kind").isin(*kinds)).select(F.col("name").alias("known")).distinct()

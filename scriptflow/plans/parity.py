@@ -39,9 +39,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Rules that read the tokens more than twice.
+_SEVERAL = [rules.brackets, rules.missing_then, rules.missing_commas, rules.unended_blocks, rules.unused_locals, rules.shadowed_locals, rules.event_handlers, rules.remote_calls, rules.unsaved_handles, rules.overwritten_values]
+
+
 def _rule(name: str, rule: Callable[[rules.Project], DataFrame], sql: str) -> None:
     """A rule over the made scripts. sql: a query over tok, sig, pairs and ends for file, line, col, message."""
-    QUERIES[name] = lambda spark, sf_dir: _longs(rule(project(spark, sf_dir)).select("file", "line", "column", "message").distinct())
+    QUERIES[name] = lambda spark, sf_dir: _longs(rule(project(spark, sf_dir, keep=rule in _SEVERAL)).select("file", "line", "column", "message").distinct())
     ORACLES[name] = f'{SCRIPTS_SQL} SELECT DISTINCT file, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS "column", message FROM ({sql})'
 
 
@@ -92,7 +96,7 @@ def bracket_spans(spark, sf_dir):
 
 @query("nesting_depth_max", f"{SCRIPTS_SQL} SELECT file, max(depth) AS depth FROM (SELECT s.file, s.s, count(p.open) AS depth FROM sig s LEFT JOIN (SELECT p.* FROM pairs p JOIN sig b ON b.file = p.file AND b.s = p.open AND b.type = 'lbrace') p ON p.file = s.file AND p.open < s.s AND p.close > s.s GROUP BY s.file, s.s) GROUP BY file")
 def nesting_depth_max(spark, sf_dir):
-    sig = project(spark, sf_dir).sig
+    sig = project(spark, sf_dir, keep=True).sig
     pairs = structure.bracket_pairs(sig).join(sig.where("type = 'lbrace'").select("file", "s"), ["file", "s"])
     edges = pairs.select("file", (F.col("s") + 1).alias("at"), F.lit(1).alias("d")).union(pairs.select("file", F.col("close"), F.lit(-1)))
     deepest = edges.groupBy("file", "at").agg(F.sum("d").alias("d")).withColumn("depth", F.sum("d").over(Window.partitionBy("file").orderBy("at"))).groupBy("file").agg(F.max("depth").alias("depth"))
@@ -454,7 +458,7 @@ def plugin_todo_rule(spark, sf_dir):
  UNION SELECT h.n2v FROM sig h WHERE h.type = 'ident' AND h.n1t = 'lbracket' AND h.n2t = 'string' AND h.v IN ('setvariable', 'addeventhandler') AND regexp_matches(h.n2v, '^[A-Za-z_][A-Za-z0-9_]*$') AND EXISTS (SELECT 1 FROM sig c WHERE c.file = h.file AND c.type = 'lbrace' AND c.s > h.s AND c.s < (SELECT min(e.s) FROM sig e WHERE e.file = h.file AND e.type = 'rbracket' AND e.s > h.s)))
 SELECT 'function' AS kind, name FROM fn UNION SELECT 'tag', split_part(name, '_fnc_', 1) FROM fn WHERE contains(name, '_fnc_') UNION SELECT 'macro', lower(regexp_extract(value, '(?i)^define\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM tok WHERE type = 'preprocessor' AND regexp_matches(value, '(?i)^define\\s+[A-Za-z_]')""")
 def symbol_index(spark, sf_dir):
-    p = project(spark, sf_dir)
+    p = project(spark, sf_dir, keep=True)
     return symbols.index(p.tokens, p.sig)
 
 

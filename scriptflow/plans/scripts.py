@@ -115,5 +115,14 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in rows])))
 
 
-def project(spark: SparkSession, sf_dir: str) -> Project:
-    return Project(script_sources(spark, sf_dir), registry(spark))
+_kept: list[Project] = []
+
+
+def project(spark: SparkSession, sf_dir: str, keep: bool = False) -> Project:
+    """The made scripts as a project. Of those with kept tables only the latest stays."""
+    made = Project(script_sources(spark, sf_dir), registry(spark), keep)
+    if keep:
+        while _kept:
+            _kept.pop().release()
+        _kept.append(made)
+    return made
