@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptflow.llm import ngram_jaccard, queries, sentencepiece_codec, source_mix, substring_dedup
+from scriptflow.llm import filters, ngram_jaccard, queries, sentencepiece_codec, source_mix, substring_dedup
 from scriptflow.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,10 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Repeated rows count as one."""
-    found = ngram_jaccard.join(docs)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each group stays: the one with the smallest id. Repeated rows count as one.
+    Texts of most documents, which are alone and stay, aren't moved: a filter of fixed size tells them from the rest."""
+    scratch = Scratch(spark, "near")
+    found = scratch.write(ngram_jaccard.join(docs), "found")
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.expr("doc_id <=> component_id")).alias("_stays"))
+    special = by_id.where("n > 1 or not _stays").select(F.col("doc_id").alias("_id"), "_stays")
+    marked = filters.mark(docs, F.xxhash64("doc_id"), special, F.xxhash64("_id"), scratch, "filter")
+    rest = marked.where("_maybe").join(special, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("coalesce(_stays, true)")
+    return marked.where("not _maybe").select(*COLUMNS).union(rest.dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
