@@ -31,6 +31,8 @@ WORDS, PAIRS = 1 << 18, 1 << 21
 #: Weight of a pair's smoothing by its word, of a word's by the uniform share.
 PAIR_MASS, WORD_MASS = 20.0, 0.1
 _SLOTS = 64
+#: Partial sums that meet in the second step of adding up.
+_SALTS = 16
 
 
 def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,18 +70,23 @@ def count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = [np.flatnonzero(total[s * step : (s + 1) * step]) for s in range(_SLOTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLOTS), pa.int32()), pa.array([a.astype(np.uint32).tobytes() for a in at], pa.binary()), pa.array([total[s * step + a].astype(np.uint32).tobytes() for s, a in enumerate(at)], pa.binary())], names=["slot", "at", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], kept: type) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, at, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 into = total.setdefault(slot, np.zeros(step, np.int64))
-                into[np.frombuffer(at.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slot", "sums"])
-
-    rows = docs.select("_text").mapInArrow(part, "slot int, at binary, n binary").repartition(_SLOTS, "slot").mapInArrow(add, "slot int, sums binary").collect()
+                into[np.frombuffer(at.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), kept).astype(np.int64)
+        at = [np.flatnonzero(x) for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([a.astype(np.uint32).tobytes() for a in at], pa.binary()), pa.array([x[a].astype(np.uint64).tobytes() for x, a in zip(total.values(), at, strict=True)], pa.binary())], names=["slot", "at", "n"])
+
+    # first what a few tasks have counted, then the rest: no task reads a part from every task
+    kind = "slot int, at binary, n binary"
+    tasks = max(_SLOTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = docs.select("_text").mapInArrow(part, kind).withColumn("_salt", F.spark_partition_id() % _SALTS).repartition(tasks, "slot", "_salt").select("slot", "at", "n").mapInArrow(lambda b: add(b, np.uint32), kind)
+    rows = parts.repartition(_SLOTS, "slot").mapInArrow(lambda b: add(b, np.uint64), kind).collect()
     sums = np.zeros(size)
     for r in rows:
-        sums[r["slot"] * step : (r["slot"] + 1) * step] = np.frombuffer(r["sums"], np.int64)
+        sums[r["slot"] * step + np.frombuffer(r["at"], np.uint32).astype(np.int64)] = np.frombuffer(r["n"], np.uint64)
     return sums[:WORDS], sums[WORDS:]
 
 
