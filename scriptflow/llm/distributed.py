@@ -21,3 +21,17 @@ def ranked(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> D
         offsets[row["part"]], offset = offset, offset + row["count"]
     base = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[part] if offsets else F.lit(0).cast("long")
     return staged.withColumn("rank", (base + within).cast("long")).drop("_at")
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hash of a key (ties by the key), all if there are fewer.
+
+    Rows that can't be among them are left out by a bound on the hash before the sort, so that no
+    task and not the driver sees more than a few rows beyond `most`.
+    """
+    total = df.count()
+    order = [F.xxhash64(key), F.col(key)]
+    if total > most:
+        share = min(1.0, most / total + 8 * (most**0.5 + 8) / total)
+        df = df.where(F.xxhash64(key) <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    return df.orderBy(*order).limit(most)

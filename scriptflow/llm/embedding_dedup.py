@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import rp_forest
 from .components import connected_components
+from .distributed import hash_sample
 from .scratch import Scratch
 
 TREES, LEAF = 8, 192
@@ -77,7 +78,7 @@ def links(vectors: DataFrame, least: float, scratch: Scratch, trees: int = TREES
     for row in sorted(sizes):
         dim, most = row["dim"], row["n"]
         same = vectors.where(F.size("vec") == dim)
-        sample = same.orderBy(F.xxhash64("id")).limit(rp_forest.SAMPLE).select("vec").toPandas()["vec"]
+        sample = hash_sample(same.select("id", "vec"), "id", rp_forest.SAMPLE).select("vec").toPandas()["vec"]
         x = np.array(sample.tolist(), np.float64).reshape(len(sample), dim)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         depth = int(np.clip(np.ceil(np.log2(max(1, most / COARSE))), 0, max(0, np.log2(max(1, len(x) / 32)))))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rp_forest
-from .distributed import ranked
+from .distributed import hash_sample, ranked
 from .embedding_dedup import matrix, usable
 from .scratch import Scratch
 
@@ -401,7 +401,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     for dim in sorted(r["d"] for r in vectors.select(F.size("vec").alias("d")).distinct().collect()):
         same = vectors.where(F.size("vec") == dim)
         total = same.count()
-        sample = np.array(same.orderBy(F.xxhash64("nid")).limit(rp_forest.SAMPLE).select("vec").toPandas()["vec"].tolist(), np.float64).reshape(-1, dim)
+        sample = np.array(hash_sample(same.select("nid", "vec"), "nid", rp_forest.SAMPLE).select("vec").toPandas()["vec"].tolist(), np.float64).reshape(-1, dim)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         depth = int(np.clip(np.ceil(np.log2(max(1, total / (4 * LEAF)))), 0, max(0, np.log2(max(1, len(sample) / 32)))))
         forest = spark.sparkContext.broadcast(rp_forest.fit(sample, TREES, depth, 10))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
+from .distributed import hash_sample
 
 #: At most so many labelled rows train the model.
 TRAIN_ROWS = 20_000
@@ -172,7 +173,7 @@ def featurise(docs: DataFrame, keys: list[Column], text: str = "text") -> DataFr
 def train(features_of: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", label: str = "quality", most: int = TRAIN_ROWS) -> Gam:
     """Fits on labelled rows for which usable holds, a column over key; at most `most` rows, by hash of the key."""
     marked = labels.select(labels[key].alias("_key"), labels[label].cast("double").alias("y")).where("y is not null").distinct()
-    rows = features_of.where(usable).join(marked, F.col(key) == F.col("_key")).select("x", "y", F.xxhash64(key).alias("o"), key).orderBy("o", key).limit(most).toPandas()
+    rows = hash_sample(features_of.where(usable).join(marked, F.col(key) == F.col("_key")).select("x", "y", key), key, most).toPandas()
     return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(float))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
+from .distributed import hash_sample
 
 #: At most so many labelled rows train lexicon and model.
 TRAIN_ROWS = 20_000
@@ -279,7 +280,8 @@ def _terms(text: str) -> set[str]:
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str, label: str, most: int) -> DataFrame:
     """(_text, y) of at most `most` labelled keys for which usable holds. The keys are few, so they are broadcast."""
-    marked = labels.select(labels[key].alias("_key"), labels[label].cast("int").alias("y")).withColumn(key, F.col("_key")).where(usable).where("y is not null").select("_key", "y").distinct().orderBy(F.xxhash64("_key"), "_key", "y").limit(most)
+    marked = labels.select(labels[key].alias("_key"), labels[label].cast("int").alias("y")).withColumn(key, F.col("_key")).where(usable).where("y is not null").select("_key", "y").distinct()
+    marked = hash_sample(marked, "_key", most)
     return docs.select(docs[key].alias("_doc"), docs["text"].cast("string").alias("_text")).join(F.broadcast(marked), F.col("_doc") == F.col("_key")).select("_text", "y")
 
 

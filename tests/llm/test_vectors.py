@@ -92,3 +92,12 @@ def test_search_recall_and_ties(spark, n):
 
 def test_search_of_nothing(spark):
     assert nn_search.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from scriptflow.llm.distributed import hash_sample
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    for most in (0, 1, 100, 5_000, 30_000):
+        want = [r["k"] for r in df.orderBy(F.xxhash64("k"), "k").limit(most).collect()]
+        assert [r["k"] for r in hash_sample(df, "k", most).collect()] == want
