@@ -210,6 +210,23 @@ def test_lm_scores_match_plain_counts(spark):
     assert lm_scoring.score(docs.limit(0), docs.select("doc_id")).collect() == []
 
 
+def test_lm_counts_of_rare_words_and_pairs_are_their_own(spark):
+    """More distinct pairs than any table of fixed size that a model was given."""
+    n, most = 2_400, 1_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {most}), k -> concat('w', id * {most} + k)), ' ')").alias("text"))
+    out = lm_scoring.score(docs, docs.where("doc_id < 600").select("doc_id"))
+    total, target, words = n * most, 600 * most, max(lm_scoring.WORDS, n * most)
+
+    def loss(pair, scale):
+        share = (pair * scale + lm_scoring.WORD_MASS) / (target + lm_scoring.WORD_MASS * words)
+        return -np.log2((pair * scale + lm_scoring.PAIR_MASS * share) / (pair * scale + lm_scoring.PAIR_MASS))
+
+    seen = out.groupBy((F.col("doc_id") < 600).alias("t")).agg(F.count("*"), F.min("target_loss"), F.max("target_loss"), F.min("background_loss"), F.max("background_loss")).collect()
+    for chosen, rows, *bounds in seen:
+        assert rows == (600 if chosen else n - 600)
+        assert bounds == pytest.approx([loss(int(chosen), 1.0)] * 2 + [loss(1, target / total)] * 2, rel=1e-6)
+
+
 def test_licenses_are_found_and_inherited(spark):
     rows = [
         ("LICENSE", "Released under the MIT License."), ("a/x.txt", "no words of it"), ("a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
