@@ -33,5 +33,6 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     order = [F.xxhash64(key), F.col(key)]
     if total > most:
         share = min(1.0, most / total + 8 * (most**0.5 + 8) / total)
-        df = df.where(F.xxhash64(key) <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+        if share < 1.0:
+            df = df.where(F.xxhash64(key) <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1)))))
     return df.orderBy(*order).limit(most)

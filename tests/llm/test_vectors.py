@@ -101,3 +101,13 @@ def test_samples_are_the_smallest_hashes(spark):
     for most in (0, 1, 100, 5_000, 30_000):
         want = [r["k"] for r in df.orderBy(F.xxhash64("k"), "k").limit(most).collect()]
         assert [r["k"] for r in hash_sample(df, "k", most).collect()] == want
+
+
+def test_samples_of_nearly_all_rows(spark):
+    """Where the bound on the hash takes in every row."""
+    from scriptflow.llm.distributed import hash_sample
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    for most in (18_900, 19_500, 19_999, 20_000):
+        want = [r["k"] for r in df.orderBy(F.xxhash64("k"), "k").limit(most).collect()]
+        assert [r["k"] for r in hash_sample(df, "k", most).collect()] == want
