@@ -53,6 +53,14 @@ def lexemes(sources: DataFrame) -> DataFrame:
     return placed.select("file", "n", "raw", "off", "line", (F.col("off") - F.col("_from") + 1).cast("int").alias("col"))
 
 
+def brackets(sources: DataFrame) -> DataFrame:
+    """(file, s, type, raw, line, col) of the brackets among the lexemes alone, in their order; without lines and columns, so that no other lexeme moves."""
+    kinds = {mark: name for mark, name in BRACKETS.items() if name[0] in "lr"}
+    parts = sources.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(LEXEME), 1)).alias("s", "raw")).where(F.col("raw").isin(*kinds))
+    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("raw")]
+    return parts.select("file", "s", kind.alias("type"), "raw", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"))
+
+
 def tokens(sources: DataFrame) -> DataFrame:
     """Tokens of (file, text): file, i (from 0), type, value, line, col, raw, off.
 

@@ -83,8 +83,19 @@ def lex_lossless(spark, sf_dir):
 
 @query("bracket_balance", f"""{lexed_sql(_PAGES.format(text=_CUT))} SELECT file, (SELECT count(*) FROM ends e WHERE e.file = src.file) AS unclosed, (SELECT count(bad) FROM fold f WHERE f.file = src.file) AS unmatched FROM src""")
 def bracket_balance(spark, sf_dir):
+    """The start of each page, as its SQL has it; bracket_balance_pages reads the pages whole."""
     src = _pages(spark, sf_dir, _CUT)
-    faults = structure.bracket_faults(lexer.significant(lexer.tokens(src)))
+    return _balance(src, lexer.significant(lexer.tokens(src)))
+
+
+@query("bracket_balance_pages")
+def bracket_balance_pages(spark, sf_dir):
+    src = _pages(spark, sf_dir, "html")
+    return _balance(src, lexer.brackets(src))
+
+
+def _balance(src, sig):
+    faults = structure.bracket_faults(sig)
     counts = faults.groupBy("file").agg(F.count(F.when(F.col("fault") == "unclosed", 1)).alias("unclosed"), F.count(F.when(F.col("fault") == "unmatched", 1)).alias("unmatched"))
     return src.select("file").join(counts, "file", "left").na.fill(0)
 

@@ -43,6 +43,33 @@ def test_entry_runs(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_brackets_far_into_a_page_count(spark, tmp_path):
+    html = {1: "a " * 300 + "(", 2: "( b ) " * 200 + "]", 3: "{" + "[c] " * 500 + "}", 4: "", 60: "x " * 40_000 + "[ ( ]"}
+    spark.createDataFrame([(k, "u", v) for k, v in html.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r["file"]: (r["unclosed"], r["unmatched"]) for r in parity.QUERIES["bracket_balance_pages"](spark, str(tmp_path)).collect()}
+    assert out == {"p1": (1, 0), "p2": (0, 1), "p3": (0, 0), "p4": (0, 0), "p60": (2, 1)}
+
+
+def test_entry_reads_whole_pages(spark):
+    """Against a stack over every token of every page."""
+    import __spark_entry__
+    from scriptflow.operators import lexer
+
+    src = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("concat('p', page_id) AS file", "html AS text")
+    want = {r["file"]: [[], 0] for r in src.select("file").collect()}
+    for r in sorted(lexer.significant(lexer.tokens(src)).select("file", "s", "type").collect()):
+        stack, side, kind = want[r["file"]], r["type"][:1], r["type"][1:]
+        if kind in ("paren", "bracket", "brace") and side == "l":
+            stack[0].append(kind)
+        elif kind in ("paren", "bracket", "brace"):
+            if stack[0] and stack[0][-1] == kind:
+                stack[0].pop()
+            else:
+                stack[1] += 1
+    got = {r["file"]: [r["unclosed"], r["unmatched"]] for r in __spark_entry__.entry(spark).collect()}
+    assert got == {k: [len(a), b] for k, (a, b) in want.items()}
+
+
 def test_nothing_else_imports_the_llm_subpackage():
     for path in [*(ROOT / "scriptflow").rglob("*.py"), ROOT / "bench.py"]:
         if "llm" in path.parts:
