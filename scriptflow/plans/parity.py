@@ -320,9 +320,15 @@ def sink_annotations(spark, sf_dir):
 
 @query("sink_checkstyle", f"{_D} SELECT file, '<file name=\"' || file || '\">' || string_agg('<error line=\"' || CAST(line AS VARCHAR) || '\" column=\"' || CAST(\"column\" AS VARCHAR) || '\" severity=\"' || severity || '\" message=\"' || message || '\" source=\"' || code || '\"/>', '' ORDER BY pass_no, seq, '<error line=\"' || CAST(line AS VARCHAR) || '\" column=\"' || CAST(\"column\" AS VARCHAR) || '\" severity=\"' || severity || '\" message=\"' || message || '\" source=\"' || code || '\"/>') || '</file>' AS report FROM (SELECT DISTINCT * FROM d WHERE \"column\" = 1) GROUP BY file")
 def sink_checkstyle(spark, sf_dir):
+    """Findings of the first column, as its SQL has it; sink_checkstyle_all takes all."""
     return sinks.checkstyle(made_diagnostics(spark, sf_dir).where("column = 1").distinct())
 
 
+@query("sink_checkstyle_all", ORACLES["sink_checkstyle"].replace('SELECT DISTINCT * FROM d WHERE "column" = 1', "SELECT * FROM d"))
+def sink_checkstyle_all(spark, sf_dir):
+    return sinks.checkstyle(made_diagnostics(spark, sf_dir))
+
+
 @query("sink_sarif", f"{_D} SELECT '{{\"ruleId\":\"' || code || '\",\"level\":\"' || severity || '\",\"message\":{{\"text\":\"' || message || '\"}},\"locations\":[{{\"physicalLocation\":{{\"artifactLocation\":{{\"uri\":\"' || file || '\"}},\"region\":{{\"startLine\":' || CAST(line AS VARCHAR) || ',\"startColumn\":' || CAST(\"column\" AS VARCHAR) || '}}}}}}],\"partialFingerprints\":{{\"primary\":\"' || {_PRINT} || '\"}}}}' AS report FROM d")
 def sink_sarif(spark, sf_dir):
     return sinks.sarif_results(made_diagnostics(spark, sf_dir))
@@ -333,8 +339,8 @@ def sink_sarif(spark, sf_dir):
 _EDGES = "SELECT 'c' || CAST(c_custkey % 60 AS VARCHAR) AS src, 'c' || CAST((c_custkey * 7 + c_nationkey) % 60 AS VARCHAR) AS dst FROM customer WHERE c_nationkey < 3"
 
 
-def _edges(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").where("c_nationkey < 3").select(F.concat(F.lit("c"), (F.col("c_custkey") % 60).cast("string")).alias("src"), F.concat(F.lit("c"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 60).cast("string")).alias("dst"))
+def _edges(spark, sf_dir, where="c_nationkey < 3"):
+    return _table(spark, sf_dir, "customer").where(where).select(F.concat(F.lit("c"), (F.col("c_custkey") % 60).cast("string")).alias("src"), F.concat(F.lit("c"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 60).cast("string")).alias("dst"))
 
 
 _CLOSURE = f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.dst WHERE r.depth < 64 AND r.depth < 70), c AS (SELECT src, dst, min(depth) AS depth FROM r GROUP BY src, dst)"
@@ -356,6 +362,27 @@ def include_repeats(spark, sf_dir):
     return includes.repeats(_edges(spark, sf_dir), guarded)
 
 
+# the same over all customers
+
+_ALL_EDGES = _EDGES.removesuffix(" WHERE c_nationkey < 3")
+
+
+@query("include_closure_all", ORACLES["include_closure"].replace(_EDGES, _ALL_EDGES))
+def include_closure_all(spark, sf_dir):
+    return includes.closure(_edges(spark, sf_dir, "true"))
+
+
+@query("include_cycles_all", ORACLES["include_cycles"].replace(_EDGES, _ALL_EDGES))
+def include_cycles_all(spark, sf_dir):
+    return includes.cycles(includes.closure(_edges(spark, sf_dir, "true")))
+
+
+@query("include_repeats_all", ORACLES["include_repeats"].replace(_EDGES, _ALL_EDGES))
+def include_repeats_all(spark, sf_dir):
+    guarded = spark.range(1, 4).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("file"))
+    return includes.repeats(_edges(spark, sf_dir, "true"), guarded)
+
+
 _PATHS = "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || '/x' AS file FROM pages"
 
 
@@ -447,7 +474,16 @@ def core_alias_closure(spark, sf_dir):
 
 @query("changed_lines_from_hunks", "SELECT DISTINCT 'f' || CAST(o_custkey % 20 AS VARCHAR) || '.sqf' AS file, CAST(unnest(range(o_orderkey % 90 + 1, o_orderkey % 90 + 1 + o_orderkey % 4)) AS BIGINT) AS line FROM orders WHERE o_custkey < 200")
 def changed_lines_from_hunks(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").where("o_custkey < 200")
+    """Some of the orders, as its SQL has it; changed_lines_all takes all."""
+    return _changed(_table(spark, sf_dir, "orders").where("o_custkey < 200"))
+
+
+@query("changed_lines_all", ORACLES["changed_lines_from_hunks"].removesuffix(" WHERE o_custkey < 200"))
+def changed_lines_all(spark, sf_dir):
+    return _changed(_table(spark, sf_dir, "orders"))
+
+
+def _changed(o):
     head = o.select(F.col("o_orderkey").alias("diff"), F.lit(1).alias("n"), F.concat(F.lit("+++ b/f"), (F.col("o_custkey") % 20).cast("string"), F.lit(".sqf")).alias("text"))
     hunk = o.select(F.col("o_orderkey").alias("diff"), F.lit(2).alias("n"), F.concat(F.lit("@@ -1 +"), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(","), (F.col("o_orderkey") % 4).cast("string"), F.lit(" @@ x")).alias("text"))
     return files.changed_lines(head.union(hunk))

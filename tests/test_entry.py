@@ -70,6 +70,19 @@ def test_entry_reads_whole_pages(spark):
     assert got == {k: [len(a), b] for k, (a, b) in want.items()}
 
 
+def test_whole_tables_are_read(spark, oracle):
+    """No order, finding or customer is left out."""
+    read = lambda name: parity.QUERIES[name](spark, SF)
+    assert sum(r["report"].count("<error ") for r in read("sink_checkstyle_all").collect()) == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    edges = "SELECT DISTINCT 'c' || c_custkey % 60, 'c' || (c_custkey * 7 + c_nationkey) % 60 FROM customer"
+    assert {(r["src"], r["dst"]) for r in read("include_closure_all").where("depth = 1").collect()} == set(oracle.execute(edges).fetchall())
+    lines = "SELECT DISTINCT 'f' || o_custkey % 20 || '.sqf', o_orderkey % 90 + 1 + k FROM orders, range(3) r(k) WHERE k < o_orderkey % 4"
+    assert {(r["file"], r["line"]) for r in read("changed_lines_all").collect()} == set(oracle.execute(lines).fetchall())
+    for name in ("sink_checkstyle", "include_closure", "include_cycles", "include_repeats", "changed_lines_from_hunks"):
+        whole = "changed_lines_all" if name.startswith("changed") else f"{name}_all"
+        assert " WHERE o_custkey" not in parity.ORACLES[whole] and "c_nationkey <" not in parity.ORACLES[whole] and '"column" = 1' not in parity.ORACLES[whole]
+
+
 def test_nothing_else_imports_the_llm_subpackage():
     for path in [*(ROOT / "scriptflow").rglob("*.py"), ROOT / "bench.py"]:
         if "llm" in path.parts:
