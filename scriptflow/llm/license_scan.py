@@ -6,6 +6,10 @@ and are compared with the notices of known licences by cosine; the best one at o
 `threshold` is the unit's licence (ties: the smaller name). A file's own licence is its best
 unit's (ties: the earlier line, then the smaller name).
 
+Wrapped headers and whole licences are longer than a line: comment blocks, paragraphs and the whole
+text, of at least `least_words` words, are compared with the whole texts and standard headers of
+license_texts, with logarithmic word counts. Such a match comes before those of lines.
+
 A file is a licence file if its name says so, or if its licence lines hold a share of at least
 `file_share` of its words. A directory has the licence of its licence files (the largest share
 first, then the smallest path). A file without its own licence inherits that of the nearest
@@ -18,6 +22,7 @@ table of fixed size and the only thing that is broadcast.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -25,6 +30,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_texts
+from .scratch import Scratch
+
 # Licence names and the notices that licensors are told to use.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -44,6 +52,12 @@ TEMPLATES = {
 TRIGGER = "(?i)licen[sc]e|copyright|all rights reserved|public domain"
 #: Names of licence files.
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[^/]*)?$"
+#: Comments of several lines, runs of lines that begin like comments, paragraphs of other lines.
+BLOCK = (
+    r"(?m)/\*[^*]*+(?:\*++[^*/][^*]*+)*+\*++/"
+    r"|(?:^[ \t]*+(?://|#|--|;|%|\*)[^\n]*+(?:\n|\z))++"
+    r"|(?:^(?![ \t]*+(?://|/\*|#|--|;|%|\*))[ \t\r]*+[^ \t\r\n][^\n]*+(?:\n|\z))++"
+)
 WORD = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
 
 
@@ -59,6 +73,20 @@ def template_rows(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[str
     return rows, idf, math.log(1 + len(bags)) + 1
 
 
+def text_rows() -> tuple[list[dict], list[dict], float]:
+    """As template_rows, of whole texts and headers: t tells the texts of one licence apart, word counts are logarithmic."""
+    texts = license_texts.texts()
+    bags = [Counter(re.findall(WORD, text.lower())) for _, text in texts]
+    df = Counter(w for bag in bags for w in bag)
+    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
+    rows = []
+    for t, ((name, _), bag) in enumerate(zip(texts, bags, strict=True)):
+        weights = {w: (1 + math.log(n)) * idf[w] for w, n in sorted(bag.items())}
+        norm = math.sqrt(sum(x * x for x in weights.values()))
+        rows += [{"t": t, "license": name, "word": w, "share": x / norm} for w, x in weights.items()]
+    return rows, [{"word": w, "idf": x} for w, x in sorted(idf.items())], math.log(1 + len(bags)) + 1
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
@@ -73,7 +101,31 @@ def _literal(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) ->
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows])))
 
 
-def scan(files: DataFrame, keys: list[str], path: str = "path", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.6, file_share: float = 0.2) -> DataFrame:
+def _table(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
+    """A larger fixed table as an expression."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
+def _whole(speaking: DataFrame, threshold: float, least: int) -> DataFrame:
+    """_id, the licence whose text or header is most like a block or the whole text, its score and the block's number of words."""
+    spark = speaking.sparkSession
+    rows, idf, rare = text_rows()
+    scratch = Scratch(spark, "license")  # read again from there, so that plans don't hold the rows
+    vectors = scratch.write(_table(spark, rows, "t:int,license:string,word:string,share:double"), "vectors")
+    known = scratch.write(_table(spark, idf, "word:string,idf:double"), "known")
+    blocks = speaking.select("_id", F.posexplode(F.regexp_extract_all("_text", F.lit(BLOCK), 0)).alias("block", "unit"))
+    units = blocks.unionByName(speaking.select("_id", F.lit(-1).alias("block"), F.col("_text").alias("unit"))).where(F.col("unit").rlike(TRIGGER))
+    units = units.withColumn("words", words_of(F.col("unit"))).where(F.size("words") >= least)
+    bags = units.select("_id", "block", F.explode("words").alias("word")).groupBy("_id", "block", "word").count()
+    weighed = bags.join(F.broadcast(known), "word", "left").withColumn("w", (1 + F.log("count")) * F.coalesce("idf", F.lit(rare)))
+    norms = weighed.groupBy("_id", "block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("count").alias("size"))
+    dots = weighed.where("idf is not null").join(F.broadcast(vectors), "word").groupBy("_id", "block", "t", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    found = dots.join(norms, ["_id", "block"]).select("_id", "block", "license", "size", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = found.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "block", "license", "size")).alias("b"))
+    return best.select("_id", F.col("b.license").alias("_text_license"), (-F.col("b.s")).alias("_text_score"), F.col("b.size").alias("_text_size"))
+
+
+def scan(files: DataFrame, keys: list[str], path: str = "path", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.6, file_share: float = 0.2, least_words: int = 20) -> DataFrame:
     """keys, path, own_license, own_score, license, origin (header, inherited or none) and
     inherited_from (a directory, empty for the top) of every row of files."""
     spark = files.sparkSession
@@ -98,6 +150,9 @@ def scan(files: DataFrame, keys: list[str], path: str = "path", text: str = "tex
     counted = units.groupBy("_id").agg(F.first("_n").alias("_n"), F.max("_named").alias("_named"), F.collect_list(F.when(F.col("line") >= 0, F.struct("line", F.size("words").alias("n")))).alias("sizes"))
     held = F.aggregate(F.filter("sizes", lambda x: F.array_contains(F.col("hit"), x["line"])), F.lit(0), lambda a, x: a + x["n"])
     own = best.join(counted, "_id").select("_id", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.when(F.col("_named"), F.lit(1.0)).otherwise(held / F.greatest(F.col("_n"), F.lit(1))).alias("_share"))
+    whole_texts = _whole(speaking, threshold, least_words).join(speaking.select("_id", F.col("_named").alias("_file"), F.col("_n").alias("_words")), "_id")
+    longer = F.col("_text_license").isNotNull()
+    own = own.join(whole_texts, "_id", "full").select("_id", F.coalesce("_text_license", "own_license").alias("own_license"), F.coalesce("_text_score", "own_score").alias("own_score"), F.when(longer, F.when(F.col("_file"), F.lit(1.0)).otherwise(F.col("_text_size") / F.greatest("_words", F.lit(1)))).otherwise(F.col("_share")).alias("_share"))
 
     marked = base.drop("_text").join(own, "_id", "left").withColumn("_dir", directory(F.col("path")))
     holders = marked.where((F.col("_share") >= file_share) & F.col("path").isNotNull())

@@ -242,6 +242,41 @@ def test_licenses_are_found_and_inherited(spark):
     assert license_scan.scan(files.limit(0), ["k"]).collect() == []
 
 
+def test_whole_licenses_and_wrapped_headers_are_found(spark):
+    from pathlib import Path
+
+    common, body = Path("/usr/share/common-licenses"), Path(license_scan.__file__).parent / "licenses/MIT.txt"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    rows = [(f"{k}/{name}", (common / k).read_text(), want) for k, want in names.items() for name in ("COPYING", "notes.txt")]
+    gpl = """    Foo is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version {} of the License, or
+    (at your option) any later version.
+
+    Foo is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with Foo.  If not, see <https://www.gnu.org/licenses/>."""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    code = "\nint main(void) { return loop(values, 3); }\n" * 40
+    commented = lambda mark, text: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    starred = lambda text: "/*\n" + commented(" *", text) + "\n */"
+    mit = "\n".join(body.read_text().split("\n")[4:])
+    bsd = "Copyright (c) 2019 A. Writer\n" + "\n".join((common / "BSD").read_text().split("\n")[1:])
+    for k, (text, want) in enumerate([(gpl.format(3), "GPL-3.0"), (gpl.format(2), "GPL-2.0"), (gpl.format(3).replace("GNU General", "GNU Lesser General"), "LGPL-3.0"), (mpl, "MPL-2.0"), (mit, "MIT"), (bsd, "BSD-3-Clause"), (license_scan.license_texts.HEADERS["Apache-2.0"][0], "Apache-2.0")]):
+        rows += [(f"h{k}/a.py", commented("#", text) + code, want), (f"h{k}b/a.c", starred(text) + code, want), (f"h{k}c/a.c", "/*\n" + text + "\n*/" + code, want)]
+    prose = "The rights of the reader to the text of this book are those of any reader of the works in the library, and the copyright of it is with the author of the book. " * 8
+    rows += [("none/a.txt", prose, None), ("none/b.c", "/* " + prose + " */" + code, None)]
+    files = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "k int, path string, text string")
+    out = {r["k"]: r["own_license"] for r in license_scan.scan(files, ["k"]).collect()}
+    assert {rows[k][0]: v for k, v in out.items()} == {p: want for p, _, want in rows}
+
+
 @pytest.fixture(scope="module")
 def codec():
     with open(queries.piece_model(), "rb") as f:
