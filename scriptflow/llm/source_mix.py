@@ -75,13 +75,14 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
     return sources.withColumn("target", F.least(capped, F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1.0, 2.0, 3.0), most: int = 3, schedules: Sequence[Sequence[float]] = SCHEDULES) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1.0, 2.0, 3.0), most: int = 3, schedules: Sequence[Sequence[float]] = SCHEDULES, turn: Column | None = None) -> DataFrame:
     """One row per document: key, source, size, source_size, target, taken (words the mix takes,
     repeats counted) and positions (array of double: the training time at which each pass over the
-    source comes to the document), sorted by range of the first position."""
+    source comes to the document), sorted by range of the first position. turn: a column whose MD5
+    orders documents within a source, in place of the key's."""
     scratch = Scratch(docs.sparkSession, "mix")
-    d = docs.select(docs[key].alias("_key"), docs[source].cast("string").alias("_source"), words_in(docs[text].cast("string")).alias("size"))
-    d = d.withColumn("_turn", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit(""))))
+    by = docs[key] if turn is None else turn
+    d = docs.select(docs[key].alias("_key"), docs[source].cast("string").alias("_source"), words_in(docs[text].cast("string")).alias("size"), F.md5(F.coalesce(by.cast("string"), F.lit(""))).alias("_turn"))
     order = [F.col("_source").asc_nulls_last(), F.col("_turn"), F.col("_key").asc_nulls_first(), F.col("size")]
     laid = d.repartitionByRange(*order)
     laid = scratch.write(laid.withColumn("_part", F.spark_partition_id()), "laid")
