@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows
-as Parquet in the shared folder and hands what it reads back to the next stage.
+as Parquet in the shared folder and hands what it reads back to the next stage. An empty table gives
+an empty table. Columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -10,31 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptflow.llm import filters, ngram_jaccard, queries, sentencepiece_codec, source_mix, substring_dedup
+from scriptflow.llm.rows import with_row_key
 from scriptflow.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; all others stay."""
+    """Rows that the classifier rejects go; all others stay. Each row is scored by its text alone, so null
+    ids, repeated ids and repeated rows change nothing; a null text counts as empty."""
     scored = queries.quality_scores(spark, docs, sf_dir, COLUMNS)
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Repeated rows count as one.
-    Texts of most documents, which are alone and stay, aren't moved: a filter of fixed size tells them from the rest."""
+    """One row of each group stays: the one with the smallest id (null last), of equal ids the one
+    with the smallest hash of its columns. Rows without words are in no group and stay, repeated ones
+    too. Texts of most rows, which stay, aren't moved: a filter of fixed size tells them from the rest."""
     scratch = Scratch(spark, "near")
-    found = scratch.write(ngram_jaccard.join(docs), "found")
-    by_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.expr("doc_id <=> component_id")).alias("_stays"))
-    special = by_id.where("n > 1 or not _stays").select(F.col("doc_id").alias("_id"), "_stays")
-    marked = filters.mark(docs, F.xxhash64("doc_id"), special, F.xxhash64("_id"), scratch, "filter")
-    rest = marked.where("_maybe").join(special, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("coalesce(_stays, true)")
-    return marked.where("not _maybe").select(*COLUMNS).union(rest.dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
+    docs = with_row_key(docs, scratch)
+    found = scratch.write(ngram_jaccard.join(docs, key="_row"), "found")
+    gone = found.where(~F.col("_row").eqNullSafe(F.col("component_id"))).select(F.col("_row").alias("_gone"))
+    marked = filters.mark(docs, F.xxhash64("_row"), gone, F.xxhash64("_gone"), scratch, "filter")
+    rest = marked.where("_maybe").join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    return marked.where("not _maybe").select(*COLUMNS).union(rest.select(*COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a text that loses some becomes its kept words, others stay as they are."""
+    """Repeated passages go, from repeated rows and from rows with null ids as from any others; a text
+    that loses some becomes its kept words, others stay as they are, null and empty ones too."""
     cut = substring_dedup.deduplicate(docs.withColumn("_whole", F.col("text")), ["doc_id", "_whole", "lang", "source", "n_chars"], kept=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_whole"))
     size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars").cast("long"))
@@ -42,14 +47,16 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, one row for each pass of the mix over them."""
-    plan = source_mix.mix(docs.select("doc_id", "text", "source"))
-    passes = plan.select("doc_id", F.explode("positions").alias("_position"))
-    return docs.join(passes, "doc_id").repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*COLUMNS)
+    """Rows in training order, one for each pass of the mix over them. Every row has passes of its own,
+    also where ids are null or repeated; rows without words, null texts among them, have none and go."""
+    docs = with_row_key(docs, Scratch(spark, "mixing"))
+    plan = source_mix.mix(docs.select("_row", "text", "source"), key="_row", turn=F.col("_row.id"))
+    passes = plan.select("_row", F.explode("positions").alias("_position"))
+    return docs.join(passes, "_row").repartitionByRange("_position", "_row").sortWithinPartitions("_position", "_row").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the decoded text's digest of every row."""
+    """doc_id, n_tokens and the digests of ids and decoded text of every row; a null text counts as empty."""
     return sentencepiece_codec.encode(docs, queries.piece_model(), ids=False, digests=True)
 
 
