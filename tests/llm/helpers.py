@@ -1,5 +1,6 @@
 """Small inputs and plain versions of what the operators compute."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -87,6 +88,20 @@ def mix_targets(sizes, most=3):
     return out
 
 
+def mix_passes(rows, most=3):
+    """(key, text, passes) of (key, text, source) rows: each source in the order of its keys' MD5, from its start, up to its target."""
+    sizes = defaultdict(int)
+    rows = [(i, t, s, len(WORD.findall(t or ""))) for i, t, s in rows]
+    for _, _, s, n in rows:
+        sizes[s] += n
+    targets, at, out = mix_targets(sizes, most), defaultdict(int), []
+    for i, t, s, n in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+        need = int(targets[s] + 0.5)
+        out.append((i, t, sum(n > 0 and at[s] + e * sizes[s] < need for e in range(most))))
+        at[s] += n
+    return out
+
+
 def by_key(rows, key):
     out = defaultdict(list)
     for r in rows:

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 import __spark_entry__
 from scriptflow.llm import queries, sentencepiece_codec
@@ -52,9 +54,63 @@ def test_stages_match_brute_force(spark):
         assert (r["ids_sha256"], r["decoded_sha256"]) == tuple(hashlib.sha256(x.encode()).hexdigest() for x in (line, decoded))
 
 
-def test_pipeline_runs_and_takes_odd_documents(spark, tmp_path):
-    odd = helpers.documents(spark, [(1, None), (None, "a b c"), (2, ""), (2, ""), (3, "plain text of a few words")]).select(*corpus_pipeline.COLUMNS)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, SF).count() >= 0
+def _texts(*seeds, n=60):
+    import random
+
+    return [" ".join(random.Random(k).choice(["a", "b", "c", "dd", "eee", "f1"]) + str(random.Random(k * 1000 + j).randint(0, 300)) for j in range(n)) for k in seeds]
+
+
+def _stage(spark, name, rows, tmp_path, parquet):
+    docs = helpers.documents(spark, rows)
+    if parquet:
+        path = f"{tmp_path}/{name}"
+        docs.select(*corpus_pipeline.COLUMNS).write.parquet(path)
+        docs = spark.read.parquet(path)
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    return sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+
+
+@pytest.mark.parametrize("parquet", [False, True])
+def test_stages_decide_by_row(spark, tmp_path, parquet):
+    a, b, c = _texts(1, 2, 3)
+    rows = [(1, a), (3, a), (3, b), (None, a), (None, c), (2, ""), (2, ""), (4, None), (5, c), (5, c), (None, b)]
+    near = [(1, a), (3, b), (2, ""), (2, ""), (4, None), (5, c)]
+    assert _stage(spark, "near_duplicates", rows, tmp_path, parquet) == sorted(near, key=str)
+
+    once = [r for r in rows if r[1]]  # one source: its target is its size, so each row with words comes once
+    assert _stage(spark, "mixing", rows, tmp_path, parquet) == sorted(once, key=str)
+
+    mixed = [(i, f"{k} {t}" if t else t) for k, (i, t) in enumerate(rows)]
+    flags = helpers.windows_removed([t for _, t in mixed])
+    cut = [(i, " ".join(w for w, g in zip(ws, gone, strict=True) if not g) if any(gone) else t) for (i, t), (ws, gone) in zip(mixed, flags, strict=True)]
+    assert any(any(gone) for _, gone in flags)
+    assert _stage(spark, "passages", mixed, tmp_path, parquet) == sorted(cut, key=str)
+
+
+def test_run_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"], r["source"]) for r in dict(corpus_pipeline.STAGES)["quality"](spark, docs, SF).collect())
+    best = helpers.components({i: helpers.shingles(t) for i, t, _ in rows})
+    rows = [r for r in rows if best[r[0]] == r[0]]
+    cut = []
+    for (i, t, s), (words, gone) in zip(rows, helpers.windows_removed([t for _, t, _ in rows]), strict=True):
+        cut.append((i, " ".join(w for w, g in zip(words, gone, strict=True) if not g) if any(gone) else t, s))
+    with open(queries.piece_model(), "rb") as f:
+        codec = sentencepiece_codec.PieceCodec(f.read())
+    want = []
+    for i, t, n in helpers.mix_passes(cut):
+        line, decoded = codec.parts(t)
+        want += [(i, *(hashlib.sha256(x.encode()).hexdigest() for x in (line, decoded)))] * n
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in got.collect()) == sorted(want)
+    assert len(want) > 100
+
+
+def test_stages_take_odd_documents(spark):
+    odd = helpers.documents(spark, [(1, None), (None, "a b c"), (2, ""), (2, ""), (3, "plain text of a few words")])
+    counts = {"near_duplicates": 5, "passages": 5, "mixing": 2, "tokens": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SF).collect()
+        assert len(got) == counts.get(name, len(got)) <= 5
         assert stage(spark, odd.limit(0), SF).count() == 0
-    assert corpus_pipeline.run(spark, SF).count() > 100
