@@ -34,7 +34,7 @@ def structure(p: Project) -> DataFrame:
     """Braces that don't balance."""
     t = _leveled(p)
     lost = found(t.where("stray"), "E010", "unmatched '}' in config")
-    later = Window.partitionBy("file").orderBy("s").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("file").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     opened = t.withColumn("_least", F.min("level").over(later)).where("type = 'lbrace' and coalesce(_least >= level, true)")
     return lost.union(found(opened, "E010", "unclosed '{' in config"))
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Includes are followed to this depth at most; deeper chains are reported as cut.
-MAX_DEPTH = 64
-
+from ..session import kept
 
 def include_edges(tokens: DataFrame) -> DataFrame:
     """(file, line, target) of include directives, targets as written."""
@@ -15,25 +13,23 @@ def include_edges(tokens: DataFrame) -> DataFrame:
     return tokens.where("type = 'preprocessor'").select("file", "line", target.alias("target")).where("target <> ''")
 
 
-def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): the shortest number of steps from src to every file it reaches, itself included if on a cycle.
 
-    New pairs only are extended in each step. edges: src, dst. The lineage is cut by a checkpoint in
-    the shared folder where one is set.
+    Runs to the fixpoint, whatever the depth. A path longer than 2^k begins with one of just 2^k steps,
+    so each round joins those with all that is reached and doubles the depth. Rounds are written to
+    the shared folder. edges: src, dst; a null on either side is no edge.
     """
-    spark = edges.sparkSession
-    steps = edges.select("src", "dst").distinct()
-    reached = steps.withColumn("depth", F.lit(1))
-    front = steps
-    keep = bool(spark.conf.get("spark.checkpoint.dir", None))
-    for depth in range(2, max_depth + 1):
-        further = front.join(steps.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
-        front = further.join(reached.select("src", "dst"), ["src", "dst"], "left_anti")
-        front = front.checkpoint() if keep else front.persist()
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
-    return reached
+    reached = kept(edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("depth", F.lit(1)), "closure")
+    step = 1
+    while True:
+        onward = reached.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("depth").alias("more"))
+        longer = reached.where(F.col("depth") == step).join(onward, "dst").groupBy("src", F.col("next").alias("dst")).agg((F.min("more") + step).alias("depth"))
+        new = kept(longer.join(reached.select("src", "dst"), ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
+            return reached
+        reached = kept(reached.unionByName(new), "closure")
+        step *= 2
 
 
 def cycles(reached: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, without_trailing_blanks
+from ..session import kept_by
 from . import lexer, structure
 
 # Rule codes with their severities and names.
@@ -71,11 +72,12 @@ CATALOG = {
 # Rules of the categories; a warning in none of the last three is of correctness.
 FLOW = ["W104", "W206", "W209", "W215", "W216", "W222", "W223", "W224"]
 SUPPRESSION, STYLE = ["W229", "W230"], ["W301", "W302"]
-# Words that end an if condition, namespaces, those that are saved, handles and factories that can't be.
+# Words that end an if condition, namespaces, those that are saved, handles and factories that can't be, commands that take callbacks.
 BODY = ["then", "exitwith", "continue", "break", "throw"]
 NAMESPACES = ["missionnamespace", "profilenamespace", "parsingnamespace", "uinamespace", "servernamespace", "localnamespace", "missionprofilenamespace"]
 SAVED = ["missionnamespace", "profilenamespace", "missionprofilenamespace"]
 HANDLES = ["controlnull", "displaynull", "scriptnull", "tasknull", "controldisplay", "finddisplay", "displayctrl", "ctrlcreate"]
+EVENT_HANDLERS = ["addeventhandler", "addmissioneventhandler", "addstackedeventhandler", "displayaddeventhandler", "ctrladdeventhandler", "ctrlseteventhandler", "buttonsetaction"]
 SCRIPT_PATH = r"(?i)\.(sqf|sqs|ext)$"
 
 
@@ -95,24 +97,18 @@ class Project:
 
     sources: DataFrame
     registry: DataFrame
-    #: Keeps the token tables for rules that read them several times; release() gives them back.
+    #: Writes the token tables to the shared folder, in buckets by file, for rules that read them several times.
     keep: bool = False
 
     @cached_property
     def tokens(self) -> DataFrame:
         made = lexer.tokens(self.sources)
-        return made.persist() if self.keep else made
+        return kept_by(made, "tokens", "file") if self.keep else made
 
     @cached_property
     def sig(self) -> DataFrame:
         made = lexer.significant(self.tokens)
-        return made.persist() if self.keep else made
-
-    def release(self) -> None:
-        """Frees kept tables. What still refers to them is computed anew."""
-        for name in ("tokens", "sig"):
-            if self.keep and name in self.__dict__:
-                self.__dict__[name].unpersist()
+        return kept_by(made, "significant", "file") if self.keep else made
 
     def known(self, kinds: Iterable[str]) -> DataFrame:
         return self.registry.where(F.col("kind").isin(*kinds)).select(F.col("name").alias("known")).distinct()
@@ -148,7 +144,7 @@ def trailing_commas(p: Project) -> DataFrame:
 
 def missing_then(p: Project) -> DataFrame:
     """The condition's closing parenthesis must lead to a body: at once, or after an operator before the statement ends."""
-    w = Window.partitionBy("file").orderBy("s").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("file").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     body = F.col("v").isin(*BODY)
     sig = p.sig.withColumns({"_body": F.min(F.when(body, F.col("s"))).over(w), "_semi": F.min(F.when(F.col("type") == "semicolon", F.col("s"))).over(w)})
     ifs = sig.where("type = 'keyword' and v = 'if'").select("file", F.when(F.expr("n1t = 'operator' and n1v = '!'"), F.col("s") + 2).otherwise(F.col("s") + 1).alias("open"))
@@ -249,34 +245,65 @@ def overwritten_definitions(p: Project) -> DataFrame:
 
 def _local_declarations(p: Project) -> DataFrame:
     """Locals declared by private or params, one name or an array of names: file, s, name, value, line, col,
-    key (position of the keyword), scope and scope_end (the innermost braces; null at the top)."""
-    sig = structure.enclosed(p.sig, ["lbrace"])
-    place = ["file", F.col("parent").alias("scope"), F.col("parent_close").alias("scope_end"), (F.col("s") - 1).alias("key")]
-    lone = sig.where("p1t = 'keyword' and p1v in ('private','params') and type = 'local'").select(*place, "s", F.col("v").alias("name"), "value", "line", "col")
-    lists = structure.items(p.sig).where("type = 'string' and startswith(value, '_') and n = 1")
-    heads = sig.where("type = 'lbracket' and p1t = 'keyword' and p1v in ('private','params')").select(*place, "s")
-    listed = lists.join(heads, ["file", "s"]).withColumn("at", F.col("s") + F.col("item")).select("file", "scope", "scope_end", "key", F.col("at").alias("s"), F.col("v").alias("name"), "value", "line", "col")
-    return lone.unionByName(listed)
+    key (position of the keyword), word, listed, scope and scope_end (the innermost braces; null at the top)."""
+    sig = structure.enclosed(p.sig, ["lbrace"]).withColumnsRenamed({"parent": "scope", "parent_close": "scope_end"})
+    columns = ["file", "s", F.col("v").alias("name"), "value", "line", "col", "scope", "scope_end"]
+    lone = sig.where("p1t = 'keyword' and p1v in ('private','params') and type = 'local'").select(*columns, (F.col("s") - 1).alias("key"), F.col("p1v").alias("word"), F.lit(False).alias("listed"))
+    heads = p.sig.where("type = 'lbracket' and p1t = 'keyword' and p1v in ('private','params')").select("file", F.col("s").alias("array"), (F.col("s") - 1).alias("key"), F.col("p1v").alias("word"), F.lit(True).alias("listed"))
+    inside = structure.enclosed(p.sig, ["lbracket"]).where("type = 'string' and startswith(value, '_')").select("file", "s", F.col("parent").alias("array"))
+    strings = sig.where("type = 'string' and startswith(value, '_')").select(*columns)
+    return lone.unionByName(strings.join(inside, ["file", "s"]).join(heads, ["file", "array"]).drop("array"))
+
+
+def _callbacks(p: Project) -> DataFrame:
+    """(file, s, close) of the first braces within the array behind each event-handler command; close is null if they stay open."""
+    later = Window.partitionBy("file").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = p.sig.select("file", "s", "type", "v", F.min(F.when(F.col("type") == "lbracket", F.col("s"))).over(later).alias("_array"), F.min(F.when(F.col("type") == "lbrace", F.col("s"))).over(later).alias("_brace"))
+    arrays = ahead.where(F.col("v").isin(*EVENT_HANDLERS)).select("file", F.col("_array").alias("s")).distinct().join(ahead.select("file", "s", "_brace"), ["file", "s"])
+    ends = structure.bracket_pairs(p.sig.where("type in ('lbracket','rbracket')"))
+    first = arrays.join(ends, ["file", "s"], "left").where("close is null or _brace < close").select("file", F.col("_brace").alias("s"))
+    return first.where("s is not null").distinct().join(structure.bracket_pairs(p.sig.where("type in ('lbrace','rbrace')")), ["file", "s"], "left")
 
 
 def unused_locals(p: Project) -> DataFrame:
-    """Declared locals that no later token within their braces reads. Files with includes are left alone."""
+    """Declared locals that no later token within their braces reads. Files with includes are left alone, and so
+    are parameter lists in the callbacks of event handlers, whose parameters the engine supplies.
+
+    Only the next use of a name matters: one window by file and name, and one that finds the widest callback around a list."""
     including = p.tokens.where("type = 'preprocessor' and lower(value) like 'include%'").select("file").distinct()
     made = _local_declarations(p).where("name not in ('_x','_this','_thisargs')").join(including, "file", "left_anti")
-    uses = p.sig.where("type = 'local'").select("file", F.col("v").alias("name"), F.col("s").alias("use"), F.lit(False).alias("header"))
-    headers = p.sig.where("type = 'keyword' and v = 'for' and n1t = 'string'").select("file", F.col("n1v").alias("name"), F.col("s").alias("use"), F.lit(True).alias("header"))
-    every = uses.unionByName(headers)
-    read = (F.col("u.use") > F.col("d.s")) & (F.col("u.header") | F.col("d.scope_end").isNull() | (F.col("u.use") < F.col("d.scope_end")))
-    free = made.alias("d").join(every.alias("u"), (F.col("d.file") == F.col("u.file")) & (F.col("d.name") == F.col("u.name")) & read, "left_anti")
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    callbacks = _callbacks(p).select("file", F.col("s").alias("_at"), F.coalesce("close", F.lit(1 << 30)).alias("_close"))
+    around = made.withColumn("_at", F.col("key")).unionByName(callbacks, allowMissingColumns=True).withColumn("_close", F.max("_close").over(before))
+    made = around.where("name is not null and not (listed and word = 'params' and coalesce(_close > key, false))").drop("_at", "_close")
+    uses = p.sig.where("type = 'local'").select("file", F.col("v").alias("name"), F.col("s").alias("use"), F.lit(0).alias("header"))
+    headers = p.sig.where("type = 'keyword' and v = 'for' and n1t = 'string'").select("file", F.col("n1v").alias("name"), F.col("s").alias("use"), F.lit(1).alias("header"))
+    every = made.unionByName(uses.unionByName(headers), allowMissingColumns=True).withColumn("_pos", F.coalesce("use", "s"))
+    after = Window.partitionBy("file", "name").orderBy(F.desc("_pos")).rangeBetween(Window.unboundedPreceding, -1)
+    every = every.withColumns({"_next": F.min(F.when(F.col("header") == 0, F.col("use"))).over(after), "_header": F.max("header").over(after)})
+    free = every.where("s is not null and coalesce(_header, 0) = 0 and coalesce(_next >= scope_end, _next is null)")
     return found(free, "W209", F.concat(F.lit("unused local variable: "), "value"))
 
 
-def shadowed_locals(p: Project) -> DataFrame:
-    """A local declared again in the same scope."""
+def shadowed_locals(p: Project, external: DataFrame | None = None) -> DataFrame:
+    """A local declared again in the same scope and the same method. A params list also declares the first strings of
+    nested arrays that begin its items, a private list all its strings. external: (file, name) of locals that others declare."""
+    scoped = structure.enclosed(p.sig, ["lbrace"]).select("file", F.col("s").alias("key"), F.col("parent").alias("scope"))
+    method = F.sum((F.col("type").isin("ident", "keyword") & (F.col("v") == "method")).cast("int")).over(Window.partitionBy("file").orderBy("s"))
+    keys = p.sig.withColumn("method", method).where("type = 'keyword' and v in ('private','params')")
+    keys = keys.select("file", F.col("s").alias("key"), F.col("v").alias("word"), "line", "col", "method", (F.col("s") + 1).alias("array")).join(scoped, ["file", "key"])
+    lone = p.sig.where("type = 'local'").select("file", (F.col("s") - 1).alias("key"), "s", F.col("v").alias("name"), "value").join(keys.drop("array"), ["file", "key"])
+    strings = lambda t: t.where("type = 'string' and startswith(value, '_')").select("file", "s", F.col("parent").alias("array"), F.col("v").alias("name"), "value")
+    arrays = p.sig.where("type = 'lbracket'")
+    in_private = strings(structure.enclosed(p.sig, ["lbracket"], arrays.where("p1t = 'keyword' and p1v = 'private'"))).join(keys.where("word = 'private'"), ["file", "array"])
+    # an array that begins an item hands its own items on; so the innermost other one is what a string belongs to
+    in_params = strings(structure.enclosed(p.sig, ["lbracket"], arrays.where("not coalesce(p1t in ('lbracket','comma'), false)")).where("p1t in ('lbracket','comma')")).join(keys.where("word = 'params'"), ["file", "array"])
+    every = lone.unionByName(in_private.drop("array")).unionByName(in_params.drop("array"))
+    if external is not None:
+        every = every.join(external.select("file", "name"), ["file", "name"], "left_anti")
     w = Window.partitionBy("file", "scope", "name").orderBy("key", "s")
-    again = _local_declarations(p).withColumn("r", F.row_number().over(w)).where("r > 1")
-    at = again.join(p.sig.select("file", F.col("s").alias("key"), F.col("line").alias("_l"), F.col("col").alias("_c")), ["file", "key"])
-    return found(at, "W215", F.concat(F.lit("local declaration shadows or duplicates "), "value"), "_l", "_c")
+    again = every.withColumns({"_r": F.row_number().over(w), "_method": F.first("method").over(w)}).where("_r > 1 and method = _method")
+    return found(again, "W215", F.concat(F.lit("local declaration shadows or duplicates "), "value"), seq="key")
 
 
 def namespace_operations(p: Project) -> DataFrame:
@@ -325,7 +352,7 @@ def _assignments(p: Project) -> DataFrame:
     edge = F.expr("type in ('lbrace','rbrace') or (type = 'preprocessor' and rlike(lower(value), '^(if|ifdef|ifndef|elif|else|endif)\\\\b'))")
     w = Window.partitionBy("file").orderBy("i")
     epochs = p.tokens.withColumn("epoch", F.sum(edge.cast("int")).over(w)).select("file", "off", "epoch")
-    ends = Window.partitionBy("file").orderBy("s").rowsBetween(0, Window.unboundedFollowing)
+    ends = Window.partitionBy("file").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     sig = p.sig.withColumn("_end", F.min(F.when(F.col("type") == "semicolon", F.col("s"))).over(ends)).join(epochs, ["file", "off"])
     return sig.where("type = 'local'").withColumns({"assigns": F.coalesce(F.col("n1v") == "=", F.lit(False)), "declares": F.coalesce(F.col("p1v") == "private", F.lit(False))})
 
@@ -378,7 +405,7 @@ def conditional_balance(p: Project) -> DataFrame:
     lost = found(stray, "W227", F.concat(F.lit("#"), "word", F.lit(" without a matching conditional")), seq="i")
     # an opener is closed by the first later point at which the open count falls below its own
     level = F.col("_run") - F.col("_floor")
-    after = Window.partitionBy("file").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("file").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     levels = d.withColumn("_level", level)
     least = levels.withColumn("_least", F.min("_level").over(after))
     open_ = least.where("word in ('if','ifdef','ifndef')").where(F.coalesce(F.col("_least") >= F.col("_level"), F.lit(True)))
@@ -445,8 +472,8 @@ RULES: list[Callable[[Project], DataFrame]] = [
 
 
 def run(p: Project, rules: Iterable[Callable[[Project], DataFrame]] = RULES) -> DataFrame:
-    """All findings of the rules with severity and pass_no. The tokens are cut once: persist p.tokens' source if it is used again."""
-    out = None
+    """All findings of the rules with severity and pass_no. The sources are lexed once, into the shared folder."""
+    p, out = Project(p.sources, p.registry, True), None
     for number, rule in enumerate(rules):
         part = rule(p).withColumn("pass_no", F.lit(number))
         out = part if out is None else out.unionByName(part)

@@ -1,12 +1,13 @@
 """Brackets, statements, scopes and items of significant tokens.
 
 Well nested files are matched by windows over nesting levels. Only files with a bracket out of
-place go through a fold with a stack, which is as long as their brackets.
+place go through a fold with a stack, file by file in Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPENERS, CLOSERS = ["lparen", "lbracket", "lbrace"], ["rparen", "rbracket", "rbrace"]
@@ -29,37 +30,37 @@ def _paired(sig: DataFrame) -> DataFrame:
 
 
 def _fold(rows: DataFrame) -> DataFrame:
-    """(file, pairs, unmatched, unclosed) of files that aren't well nested. A closer that doesn't fit the top of the stack leaves it."""
-    item = F.struct("s", "open", "kind")
-    lists = rows.groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("b"))
-    start = F.expr("struct(cast(array() as array<struct<s:int,open:boolean,kind:string>>) as stack, cast(array() as array<struct<s:int,close:int>>) as pairs, cast(array() as array<int>) as bad)")
-
-    def step(acc: Column, x: Column) -> Column:
-        top = F.element_at(acc["stack"], -1)
-        fits = (F.size(acc["stack"]) > 0) & (top["kind"] == x["kind"])
-        rest = F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1)
-        return (
-            F.when(x["open"], F.struct(F.concat(acc["stack"], F.array(x)).alias("stack"), acc["pairs"].alias("pairs"), acc["bad"].alias("bad")))
-            .when(fits, F.struct(rest.alias("stack"), F.concat(acc["pairs"], F.array(F.struct(top["s"].alias("s"), x["s"].alias("close")))).alias("pairs"), acc["bad"].alias("bad")))
-            .otherwise(F.struct(acc["stack"].alias("stack"), acc["pairs"].alias("pairs"), F.concat(acc["bad"], F.array(x["s"])).alias("bad")))
-        )
-
-    done = lists.select("file", F.aggregate("b", start, step).alias("r"))
-    return done.select("file", F.col("r.pairs").alias("pairs"), F.col("r.bad").alias("unmatched"), F.transform("r.stack", lambda x: x["s"]).alias("unclosed"))
+    """(file, s, close, fault) of files that aren't well nested: openers with their closers, or a fault (unmatched, unclosed).
+    A closer that doesn't fit the top of the stack leaves it. One file's brackets at a time, once over."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("s")
+        stack: list[tuple[int, str]] = []
+        out: list[tuple[int, int | None, str | None]] = []
+        for s, opens, kind in zip(*(table[c].to_pylist() for c in ("s", "open", "kind")), strict=True):
+            if opens:
+                stack.append((s, kind))
+            elif stack and stack[-1][1] == kind:
+                out.append((stack.pop()[0], s, None))
+            else:
+                out.append((s, None, "unmatched"))
+        out += [(s, None, "unclosed") for s, _ in stack]
+        file = pa.array([table["file"][0].as_py()] * len(out), pa.string())
+        return pa.table([file, *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string())))], names=["file", "s", "close", "fault"])
+
+    return rows.select("file", "s", "open", "kind").groupBy("file").applyInArrow(run, "file string, s int, close int, fault string")
 
 
 def bracket_pairs(sig: DataFrame) -> DataFrame:
     """(file, s, close) of every opener with a matching closer, by positions among significant tokens."""
     paired = _paired(sig)
     fine = paired.where("nested and open").select("file", "s", "close")
-    odd = _fold(paired.where("not nested")).select("file", F.inline("pairs"))
-    return fine.union(odd)
+    return fine.union(_fold(paired.where("not nested")).where("fault is null").select("file", "s", "close"))
 
 
 def bracket_faults(sig: DataFrame) -> DataFrame:
     """(file, s, fault): unmatched closers and unclosed openers."""
-    odd = _fold(_paired(sig).where("not nested"))
-    return odd.select("file", F.explode("unmatched").alias("s"), F.lit("unmatched").alias("fault")).union(odd.select("file", F.explode("unclosed").alias("s"), F.lit("unclosed").alias("fault")))
+    return _fold(_paired(sig).where("not nested")).where("fault is not null").select("file", "s", "fault")
 
 
 def statements(sig: DataFrame) -> DataFrame:
@@ -69,9 +70,9 @@ def statements(sig: DataFrame) -> DataFrame:
     return out.withColumn("at", F.row_number().over(Window.partitionBy("file", "stmt").orderBy("s")))
 
 
-def enclosed(sig: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def enclosed(sig: DataFrame, kinds: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """Adds parent, the innermost matched opener around a token, and parent_close; null at the top.
-    kinds: the openers that count, all without it.
+    kinds: the openers that count, all without it; only: of these, the ones at (file, s).
 
     Levels count matched brackets only, so they are well nested; the opener around a token is the
     last one before it that opened the token's level. That is one window, whatever the nesting.
@@ -79,7 +80,8 @@ def enclosed(sig: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     of = kinds or OPENERS
     counted = sig.where(F.col("type").isin(*of, *(f"r{k[1:]}" for k in of))) if kinds else sig
     pairs = bracket_pairs(counted)
-    steps = pairs.join(sig.where(F.col("type").isin(*of)).select("file", "s"), ["file", "s"], "left_semi")
+    chosen = sig.where(F.col("type").isin(*of)) if only is None else only
+    steps = pairs.join(chosen.select("file", "s"), ["file", "s"], "left_semi")
     marks = steps.select("file", "s", F.lit(1).alias("_d"), F.col("close").alias("_c")).unionByName(steps.select("file", F.col("close").alias("s"), F.lit(-1).alias("_d"), F.lit(None).cast("int").alias("_c")))
     w = Window.partitionBy("file").orderBy("s")
     t = sig.join(marks, ["file", "s"], "left")

@@ -21,7 +21,7 @@ def defined_functions(sig: DataFrame) -> DataFrame:
 
 def keyed_functions(sig: DataFrame) -> DataFrame:
     """String keys of namespace variables and event handlers whose arguments hold code before the first closing bracket."""
-    later = Window.partitionBy("file").orderBy("s").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("file").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     compiler = F.col("v").isin(*COMPILERS)
     t = sig.withColumns({"_end": F.min(F.when(F.col("type") == "rbracket", F.col("s"))).over(later), "_brace": F.min(F.when(F.col("type") == "lbrace", F.col("s"))).over(later), "_compiled": F.min(F.when(compiler, F.col("s"))).over(later)})
     heads = t.where("type = 'ident' and n1t = 'lbracket' and n2t = 'string'").where(F.col("v").isin("setvariable", *EVENT_COMMANDS))

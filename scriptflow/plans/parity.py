@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
 from ..operators import config_rules, diagnostics, flow, includes, lexer, preprocess, rules, sinks, structure, symbols
+from ..session import shared_dir
 from ..sources import files
 from ..streaming import watch
 from .scripts import COMMANDS, FUNCTIONS, SCRIPTS_SQL, lexed_sql, project, registry, script_sources
@@ -62,7 +64,6 @@ def script_symbols(spark, sf_dir):
 
 
 _PAGES = "SELECT 'p' || CAST(page_id AS VARCHAR) AS file, {text} AS text FROM pages"
-_CUT = "substring(html, 1, CAST(60 + page_id % 300 AS INT))"
 
 
 def _pages(spark, sf_dir, text):
@@ -81,15 +82,8 @@ def lex_lossless(spark, sf_dir):
     return src.join(parts, "file").select("file", "chars", (F.col("joined") == F.col("text")).alias("lossless"))
 
 
-@query("bracket_balance", f"""{lexed_sql(_PAGES.format(text=_CUT))} SELECT file, (SELECT count(*) FROM ends e WHERE e.file = src.file) AS unclosed, (SELECT count(bad) FROM fold f WHERE f.file = src.file) AS unmatched FROM src""")
+@query("bracket_balance")
 def bracket_balance(spark, sf_dir):
-    """The start of each page, as its SQL has it; bracket_balance_pages reads the pages whole."""
-    src = _pages(spark, sf_dir, _CUT)
-    return _balance(src, lexer.significant(lexer.tokens(src)))
-
-
-@query("bracket_balance_pages")
-def bracket_balance_pages(spark, sf_dir):
     src = _pages(spark, sf_dir, "html")
     return _balance(src, lexer.brackets(src))
 
@@ -140,9 +134,28 @@ _rule("w206_constant_conditions", rules.constant_conditions, "SELECT file, n1lin
 _DEFINED = "SELECT *, coalesce(max(CAST(func AS INT)) OVER (PARTITION BY file, v ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS before FROM (SELECT g.*, (contains(v, '_fnc_') OR EXISTS (SELECT 1 FROM sig c WHERE c.file = g.file AND c.type = 'keyword' AND c.v IN ('call','spawn') AND c.n1t = 'ident' AND c.n1v = g.v)) AND (n2t = 'lbrace' OR n2v IN ('compile','compilefinal')) AS func FROM sig g WHERE type = 'ident' AND n1v = '=' AND n2t IS NOT NULL)"
 _rule("w207_duplicate_definitions", rules.duplicate_definitions, f"SELECT file, line, col, 'duplicate function definition: ' || value AS message FROM ({_DEFINED}) WHERE func AND before")
 _rule("w208_overwritten_definitions", rules.overwritten_definitions, f"SELECT file, line, col, 'function overwritten by non-code value: ' || value AS message FROM ({_DEFINED}) WHERE NOT func AND before")
-_SCOPED = "SELECT s.file, s.s, list(p.open ORDER BY p.open) FILTER (p.open IS NOT NULL) AS path FROM sig s LEFT JOIN (SELECT p.* FROM pairs p JOIN sig b ON b.file = p.file AND b.s = p.open AND b.type = 'lbrace') p ON p.file = s.file AND p.open < s.s AND p.close > s.s WHERE s.type = 'local' GROUP BY s.file, s.s"
-_rule("w209_unused_locals", rules.unused_locals, f"SELECT d.file, d.line, d.col, 'unused local variable: ' || d.value AS message FROM sig d JOIN ({_SCOPED}) ds USING (file, s) WHERE d.type = 'local' AND d.p1t = 'keyword' AND d.p1v IN ('private','params') AND d.v NOT IN ('_x','_this','_thisargs') AND NOT EXISTS (SELECT 1 FROM sig u JOIN ({_SCOPED}) us USING (file, s) WHERE u.file = d.file AND u.type = 'local' AND u.v = d.v AND u.s > d.s AND coalesce(us.path, [])[1:len(coalesce(ds.path, []))] = coalesce(ds.path, []))")
-_rule("w215_shadowed_locals", rules.shadowed_locals, f"SELECT file, p1line AS line, p1col AS col, 'local declaration shadows or duplicates ' || value AS message FROM (SELECT d.*, row_number() OVER (PARTITION BY d.file, d.v, coalesce(ds.path, []) ORDER BY d.s) AS r FROM sig d JOIN ({_SCOPED}) ds USING (file, s) WHERE d.type = 'local' AND d.p1t = 'keyword' AND d.p1v IN ('private','params')) WHERE r > 1")
+# braces around every token, and the array right around it
+_BRACES = "SELECT p.* FROM pairs p JOIN sig b ON b.file = p.file AND b.s = p.open AND b.type = 'lbrace'"
+_ARRAYS = "SELECT p.*, b.p1t, b.p1v FROM pairs p JOIN sig b ON b.file = p.file AND b.s = p.open AND b.type = 'lbracket'"
+_SCOPED = f"SELECT s.file, s.s, list(p.open ORDER BY p.open) FILTER (p.open IS NOT NULL) AS path FROM sig s LEFT JOIN ({_BRACES}) p ON p.file = s.file AND p.open < s.s AND p.close > s.s WHERE s.type IN ('local','string') OR s.v IN ('private','params') GROUP BY s.file, s.s"
+_HANDLERS = "('addeventhandler','addmissioneventhandler','addstackedeventhandler','displayaddeventhandler','ctrladdeventhandler','ctrlseteventhandler','buttonsetaction')"
+_rule("w209_unused_locals", rules.unused_locals, f"""WITH sc AS MATERIALIZED ({_SCOPED}), ar AS MATERIALIZED ({_ARRAYS}), bc AS MATERIALIZED ({_BRACES}),
+hd AS (SELECT DISTINCT h.file, (SELECT min(j.s) FROM sig j WHERE j.file = h.file AND j.type = 'lbracket' AND j.s > h.s) AS j FROM sig h WHERE h.v IN {_HANDLERS}),
+cb AS (SELECT k.file, k.k, coalesce(b.close, 1073741824) AS close FROM (SELECT file, j, (SELECT min(l.s) FROM sig l WHERE l.file = hd.file AND l.type = 'lbrace' AND l.s > hd.j) AS k FROM hd) k LEFT JOIN ar ON ar.file = k.file AND ar.open = k.j LEFT JOIN bc b ON b.file = k.file AND b.open = k.k WHERE ar.close IS NULL OR k.k < ar.close),
+al AS (SELECT t.file, t.s, arg_max(r.open, r.open) AS a FROM sig t JOIN ar r ON r.file = t.file AND t.s > r.open AND t.s < r.close WHERE t.type = 'string' AND starts_with(t.value, '_') GROUP BY t.file, t.s),
+decl AS (SELECT file, s, v, value, line, col FROM sig WHERE type = 'local' AND p1t = 'keyword' AND p1v IN ('private','params')
+ UNION ALL SELECT t.file, t.s, t.v, t.value, t.line, t.col FROM al JOIN sig t USING (file, s) JOIN ar ON ar.file = al.file AND ar.open = al.a WHERE ar.p1t = 'keyword' AND ar.p1v IN ('private','params') AND NOT (ar.p1v = 'params' AND EXISTS (SELECT 1 FROM cb WHERE cb.file = t.file AND cb.k < ar.open - 1 AND cb.close > ar.open - 1)))
+SELECT d.file, d.line, d.col, 'unused local variable: ' || d.value AS message FROM decl d JOIN sc ds USING (file, s) WHERE d.v NOT IN ('_x','_this','_thisargs')
+AND NOT EXISTS (SELECT 1 FROM sig u JOIN sc us USING (file, s) WHERE u.file = d.file AND u.type = 'local' AND u.v = d.v AND u.s > d.s AND coalesce(us.path, [])[1:len(coalesce(ds.path, []))] = coalesce(ds.path, []))
+AND NOT EXISTS (SELECT 1 FROM sig h WHERE h.file = d.file AND h.type = 'keyword' AND h.v = 'for' AND h.n1t = 'string' AND h.n1v = d.v AND h.s > d.s)""")
+_rule("w215_shadowed_locals", rules.shadowed_locals, f"""WITH RECURSIVE sc AS MATERIALIZED ({_SCOPED}), ar AS MATERIALIZED ({_ARRAYS}),
+-- arrays of parameters and the arrays that begin their items, however deep
+ch AS (SELECT file, open AS root, open, close FROM ar WHERE p1t = 'keyword' AND p1v = 'params' UNION ALL SELECT c.file, c.root, a.open, a.close FROM ch c JOIN ar a ON a.file = c.file AND a.open > c.open AND a.close < c.close AND a.p1t IN ('lbracket','comma') AND NOT EXISTS (SELECT 1 FROM ar m WHERE m.file = a.file AND m.open > c.open AND m.open < a.open AND m.close > a.close)),
+nm AS (SELECT t.file, t.s - 1 AS key, t.s, t.v, t.value FROM sig t WHERE t.type = 'local' AND t.p1t = 'keyword' AND t.p1v IN ('private','params')
+ UNION ALL SELECT t.file, r.open - 1, t.s, t.v, t.value FROM sig t JOIN ar r ON r.file = t.file AND t.s > r.open AND t.s < r.close AND r.p1t = 'keyword' AND r.p1v = 'private' WHERE t.type = 'string' AND starts_with(t.value, '_')
+ UNION ALL SELECT t.file, c.root - 1, t.s, t.v, t.value FROM ch c JOIN sig t ON t.file = c.file AND t.s > c.open AND t.s < c.close AND t.type = 'string' AND starts_with(t.value, '_') AND t.p1t IN ('lbracket','comma') AND NOT EXISTS (SELECT 1 FROM ar m WHERE m.file = t.file AND m.open > c.open AND m.open < t.s AND m.close > t.s)),
+pl AS (SELECT nm.*, coalesce(sc.path[-1], -1) AS scope, k.line, k.col, (SELECT count(*) FROM sig m WHERE m.file = nm.file AND m.v = 'method' AND m.type IN ('ident','keyword') AND m.s < nm.key) AS serial FROM nm JOIN sc ON sc.file = nm.file AND sc.s = nm.key JOIN sig k ON k.file = nm.file AND k.s = nm.key)
+SELECT file, line, col, 'local declaration shadows or duplicates ' || value AS message FROM (SELECT *, row_number() OVER w AS r, first_value(serial) OVER w AS serial0 FROM pl WINDOW w AS (PARTITION BY file, scope, v ORDER BY key, s)) WHERE r > 1 AND serial = serial0""")
 _rule("w218_namespace_operations", rules.namespace_operations, "SELECT file, line, col, p1value || ' ' || v || ' expects a name or [name, value] array' AS message FROM sig WHERE type IN ('ident','keyword') AND v IN ('getvariable','setvariable') AND p1v IN ('missionnamespace','profilenamespace','parsingnamespace','uinamespace','servernamespace','localnamespace','missionprofilenamespace') AND NOT coalesce(n1t IN ('string','lbracket','local','ident','keyword','lparen'), false)")
 _ITEMS = """SELECT a.file, a.s, a.type, a.v, a.value, a.line, a.col, a.p1v, p.open, p.close,
  CASE WHEN p.open IS NOT NULL AND p.close > p.open + 1 THEN 1 + (SELECT count(*) FROM sig c WHERE c.file = a.file AND c.type = 'comma' AND c.s > p.open AND c.s < p.close AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.file = c.file AND q.open > p.open AND q.close < p.close AND q.open < c.s AND q.close > c.s)) END AS size,
@@ -220,7 +233,7 @@ def suppression_quality(spark, sf_dir):
 
 # Post-processing on diagnostics made from line items
 
-_CODES = ["E001", "E003", "W201", "W202", "W209", "W222", "W301"]
+_CODES = ["E001", "E003", "W201", "W203", "W209", "W222", "W301"]
 _LIST = ", ".join(f"'{c}'" for c in _CODES)
 DIAGNOSTICS_SQL = f"""SELECT 's' || CAST(l_suppkey AS VARCHAR) || '.sqf' AS file, CAST(l_partkey % 50 + 1 AS BIGINT) AS line, CAST(l_linenumber AS BIGINT) AS "column", CASE WHEN code[1] = 'E' THEN 'error' ELSE 'warning' END AS severity, code, 'finding ' || l_returnflag || '|' || CAST(l_linenumber AS VARCHAR) AS message, CAST(l_linenumber AS BIGINT) AS pass_no, CAST(l_orderkey AS BIGINT) AS seq
 FROM (SELECT *, ([{_LIST}])[CAST((l_orderkey + l_linenumber) % 7 + 1 AS INT)] AS code FROM lineitem)"""
@@ -297,7 +310,7 @@ def rule_rollup(spark, sf_dir):
     return diagnostics.totals(made_diagnostics(spark, sf_dir))
 
 
-@query("header_filter", f"{_D} SELECT code, count(*) AS n FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN 'hpp' ELSE 'sqf' END AS ext FROM d) WHERE NOT (ext = 'hpp' AND code IN ('W201','W202','W209')) GROUP BY code")
+@query("header_filter", f"{_D} SELECT code, count(*) AS n FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN 'hpp' ELSE 'sqf' END AS ext FROM d) WHERE NOT (ext = 'hpp' AND code IN ('W203','W205','W216','W217','W219','W220','W221','W222','W223','W224','W226')) GROUP BY code")
 def header_filter(spark, sf_dir):
     d = made_diagnostics(spark, sf_dir).withColumn("ext", F.when(F.col("seq") % 2 == 0, "hpp").otherwise("sqf"))
     return diagnostics.drop_in_headers(d, F.col("ext")).groupBy("code").agg(F.count("*").alias("n"))
@@ -318,14 +331,8 @@ def sink_annotations(spark, sf_dir):
     return sinks.annotations(made_diagnostics(spark, sf_dir))
 
 
-@query("sink_checkstyle", f"{_D} SELECT file, '<file name=\"' || file || '\">' || string_agg('<error line=\"' || CAST(line AS VARCHAR) || '\" column=\"' || CAST(\"column\" AS VARCHAR) || '\" severity=\"' || severity || '\" message=\"' || message || '\" source=\"' || code || '\"/>', '' ORDER BY pass_no, seq, '<error line=\"' || CAST(line AS VARCHAR) || '\" column=\"' || CAST(\"column\" AS VARCHAR) || '\" severity=\"' || severity || '\" message=\"' || message || '\" source=\"' || code || '\"/>') || '</file>' AS report FROM (SELECT DISTINCT * FROM d WHERE \"column\" = 1) GROUP BY file")
+@query("sink_checkstyle", f"{_D} SELECT file, '<file name=\"' || file || '\">' || string_agg('<error line=\"' || CAST(line AS VARCHAR) || '\" column=\"' || CAST(\"column\" AS VARCHAR) || '\" severity=\"' || severity || '\" message=\"' || message || '\" source=\"' || code || '\"/>', '' ORDER BY pass_no, seq, '<error line=\"' || CAST(line AS VARCHAR) || '\" column=\"' || CAST(\"column\" AS VARCHAR) || '\" severity=\"' || severity || '\" message=\"' || message || '\" source=\"' || code || '\"/>') || '</file>' AS report FROM (SELECT * FROM d) GROUP BY file")
 def sink_checkstyle(spark, sf_dir):
-    """Findings of the first column, as its SQL has it; sink_checkstyle_all takes all."""
-    return sinks.checkstyle(made_diagnostics(spark, sf_dir).where("column = 1").distinct())
-
-
-@query("sink_checkstyle_all", ORACLES["sink_checkstyle"].replace('SELECT DISTINCT * FROM d WHERE "column" = 1', "SELECT * FROM d"))
-def sink_checkstyle_all(spark, sf_dir):
     return sinks.checkstyle(made_diagnostics(spark, sf_dir))
 
 
@@ -336,14 +343,14 @@ def sink_sarif(spark, sf_dir):
 
 # Graphs, configs, joins and snapshots
 
-_EDGES = "SELECT 'c' || CAST(c_custkey % 60 AS VARCHAR) AS src, 'c' || CAST((c_custkey * 7 + c_nationkey) % 60 AS VARCHAR) AS dst FROM customer WHERE c_nationkey < 3"
+_EDGES = "SELECT 'c' || CAST(c_custkey % 60 AS VARCHAR) AS src, 'c' || CAST((c_custkey * 7 + c_nationkey) % 60 AS VARCHAR) AS dst FROM customer"
 
 
-def _edges(spark, sf_dir, where="c_nationkey < 3"):
-    return _table(spark, sf_dir, "customer").where(where).select(F.concat(F.lit("c"), (F.col("c_custkey") % 60).cast("string")).alias("src"), F.concat(F.lit("c"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 60).cast("string")).alias("dst"))
+def _edges(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), (F.col("c_custkey") % 60).cast("string")).alias("src"), F.concat(F.lit("c"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 60).cast("string")).alias("dst"))
 
 
-_CLOSURE = f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.dst WHERE r.depth < 64 AND r.depth < 70), c AS (SELECT src, dst, min(depth) AS depth FROM r GROUP BY src, dst)"
+_CLOSURE = f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.dst WHERE r.depth < 70), c AS (SELECT src, dst, min(depth) AS depth FROM r GROUP BY src, dst)"
 
 
 @query("include_closure", f"{_CLOSURE} SELECT src, dst, CAST(depth AS BIGINT) AS depth FROM c")
@@ -362,27 +369,6 @@ def include_repeats(spark, sf_dir):
     return includes.repeats(_edges(spark, sf_dir), guarded)
 
 
-# the same over all customers
-
-_ALL_EDGES = _EDGES.removesuffix(" WHERE c_nationkey < 3")
-
-
-@query("include_closure_all", ORACLES["include_closure"].replace(_EDGES, _ALL_EDGES))
-def include_closure_all(spark, sf_dir):
-    return includes.closure(_edges(spark, sf_dir, "true"))
-
-
-@query("include_cycles_all", ORACLES["include_cycles"].replace(_EDGES, _ALL_EDGES))
-def include_cycles_all(spark, sf_dir):
-    return includes.cycles(includes.closure(_edges(spark, sf_dir, "true")))
-
-
-@query("include_repeats_all", ORACLES["include_repeats"].replace(_EDGES, _ALL_EDGES))
-def include_repeats_all(spark, sf_dir):
-    guarded = spark.range(1, 4).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("file"))
-    return includes.repeats(_edges(spark, sf_dir, "true"), guarded)
-
-
 _PATHS = "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || '/x' AS file FROM pages"
 
 
@@ -472,18 +458,9 @@ def core_alias_closure(spark, sf_dir):
     return n.union(n.select(F.regexp_replace("name", "_core_fnc_", "_fnc_"))).distinct()
 
 
-@query("changed_lines_from_hunks", "SELECT DISTINCT 'f' || CAST(o_custkey % 20 AS VARCHAR) || '.sqf' AS file, CAST(unnest(range(o_orderkey % 90 + 1, o_orderkey % 90 + 1 + o_orderkey % 4)) AS BIGINT) AS line FROM orders WHERE o_custkey < 200")
+@query("changed_lines_from_hunks", "SELECT DISTINCT 'f' || CAST(o_custkey % 20 AS VARCHAR) || '.sqf' AS file, CAST(unnest(range(o_orderkey % 90 + 1, o_orderkey % 90 + 1 + o_orderkey % 4)) AS BIGINT) AS line FROM orders")
 def changed_lines_from_hunks(spark, sf_dir):
-    """Some of the orders, as its SQL has it; changed_lines_all takes all."""
-    return _changed(_table(spark, sf_dir, "orders").where("o_custkey < 200"))
-
-
-@query("changed_lines_all", ORACLES["changed_lines_from_hunks"].removesuffix(" WHERE o_custkey < 200"))
-def changed_lines_all(spark, sf_dir):
-    return _changed(_table(spark, sf_dir, "orders"))
-
-
-def _changed(o):
+    o = _table(spark, sf_dir, "orders")
     head = o.select(F.col("o_orderkey").alias("diff"), F.lit(1).alias("n"), F.concat(F.lit("+++ b/f"), (F.col("o_custkey") % 20).cast("string"), F.lit(".sqf")).alias("text"))
     hunk = o.select(F.col("o_orderkey").alias("diff"), F.lit(2).alias("n"), F.concat(F.lit("@@ -1 +"), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(","), (F.col("o_orderkey") % 4).cast("string"), F.lit(" @@ x")).alias("text"))
     return files.changed_lines(head.union(hunk))
@@ -548,14 +525,7 @@ def flow_rules(spark, sf_dir):
 @query("streaming_changed_files")
 def streaming_changed_files(spark, sf_dir):
     """Findings of a stream over the made scripts as one batch of arriving files."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     sources = script_sources(spark, sf_dir).withColumns({"mtime_ns": F.lit(1).cast("bigint"), "size": F.length("text").cast("bigint")})
     sources.write.parquet(f"{base}/in")
     lint = lambda s: rules.trailing_blanks(rules.Project(s, registry(spark)))

@@ -55,6 +55,15 @@ LINE = """CASE
  ELSE '_w = (_v' || k7 || ' + 1' || CASE WHEN e % 5 = 0 THEN '' ELSE ')' END || ';'
 END || CASE WHEN e % 7 = 0 THEN ' ' ELSE '' END"""
 
+#: What a script ends with: callbacks, nested lists of parameters, comments within expressions, methods, an open string.
+TAIL = """CASE
+ WHEN user_id % 6 = 0 THEN chr(10) || 'unit addEventHandler ["Hit", { params ["_u", "_src"]; hint str _u; if (alive _u) then { private ["_deep", "_used"]; hint _used; }; }];'
+ WHEN user_id % 6 = 1 THEN chr(10) || 'private ["_n1", ["_n2"]]; params ["_n1", ["_n3", 0], [["_n4", 1, ["_n5"]]]]; private ["_n3", "_n5"]; hint /* , */ str _n2;'
+ WHEN user_id % 6 = 2 THEN chr(10) || 'fn_a = { params ["_a", "_b"]; { private _a = 1; hint str _a; } forEach [1, [2, {3}]]; method; private _a = 2; private _a = 3; _b };'
+ WHEN user_id % 6 = 3 THEN chr(10) || 'private ["_i", "_k"]; for "_i" from 0 to 1 do { ctrl ctrlAddEventHandler ["x", [{ params ["_c"]; params "_d"; }]]; { params ["_e", "_k"]; } }; hint "open ""quoted"" text'
+ WHEN user_id % 6 = 4 THEN chr(10) || '0 spawn { params ["_p"]; { _x } count _p }; [_p select { _x > 1 }, 2 call { params ["_q"]; [_q] }] call fn_3; hint (str _p + "a" "b"); /* open'
+ ELSE '' END"""
+
 _EVENTS = """SELECT user_id, ts, event_id AS e, event_type AS et, k, CAST(k AS STRING) AS ks, CAST(k % 5 AS STRING) AS k5, CAST(k % 7 AS STRING) AS k7, CAST(k % 13 AS STRING) AS k13
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)"""
 
@@ -97,7 +106,7 @@ pairs AS (SELECT file, open, close FROM fold WHERE open IS NOT NULL),
 ends AS (SELECT file, unnest(stack).s AS s FROM (SELECT file, arg_max(stack, n) AS stack FROM fold GROUP BY file))"""
 
 
-SOURCE_SQL = f"SELECT 'u' || CAST(user_id AS VARCHAR) || '.sqf' AS file, string_agg(line, chr(10) ORDER BY ts, e) AS text FROM (SELECT user_id, ts, e, {LINE} AS line FROM ({_EVENTS})) GROUP BY user_id"
+SOURCE_SQL = f"SELECT 'u' || CAST(user_id AS VARCHAR) || '.sqf' AS file, string_agg(line, chr(10) ORDER BY ts, e) || {TAIL} AS text FROM (SELECT user_id, ts, e, {LINE} AS line FROM ({_EVENTS})) GROUP BY user_id"
 SCRIPTS_SQL = lexed_sql(SOURCE_SQL)
 
 
@@ -107,7 +116,7 @@ def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = events.select("user_id", "ts", F.col("event_id").alias("e"), F.col("event_type").alias("et"), F.col("k").cast("string").alias("ks"), *((F.col("k") % m).cast("string").alias(f"k{m}") for m in (5, 7, 13)))
     lines = named.select("user_id", "ts", "e", F.expr(LINE).alias("line"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "e", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy("user_id").agg(text.alias("text")).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".sqf")).alias("file"), "text")
+    return lines.groupBy("user_id").agg(text.alias("text")).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".sqf")).alias("file"), F.concat("text", F.expr(TAIL)).alias("text"))
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -115,14 +124,6 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in rows])))
 
 
-_kept: list[Project] = []
-
-
 def project(spark: SparkSession, sf_dir: str, keep: bool = False) -> Project:
-    """The made scripts as a project. Of those with kept tables only the latest stays."""
-    made = Project(script_sources(spark, sf_dir), registry(spark), keep)
-    if keep:
-        while _kept:
-            _kept.pop().release()
-        _kept.append(made)
-    return made
+    """The made scripts as a project."""
+    return Project(script_sources(spark, sf_dir), registry(spark), keep)
