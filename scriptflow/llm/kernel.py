@@ -21,6 +21,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_BASE = np.uint64(0xD6E8FEB86659FD93)
 _WORD_BASE = np.uint64(0xA0761D6478BD642F)
 _SECOND_BASE = np.uint64(0xE7037ED1A0B428DB)
+_SECOND_BYTE_BASE = np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +59,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS, _SECOND = _Powers(_BYTE_BASE), _Powers(_WORD_BASE), _Powers(_SECOND_BASE)
+_BYTES, _WORDS, _SECOND, _SECOND_BYTES = _Powers(_BYTE_BASE), _Powers(_WORD_BASE), _Powers(_SECOND_BASE), _Powers(_SECOND_BYTE_BASE)
 
 
 @dataclass
@@ -74,12 +75,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; with lower, A-Z count as a-z."""
+    def hashes(self, lower: bool = False, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word; with lower, A-Z count as a-z; second: another hash, on another base."""
         n = len(self.data)
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        up, down = _BYTES.get(n + 1)
+        up, down = (_SECOND_BYTES if second else _BYTES).get(n + 1)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum((_VALUES_LOWER if lower else _VALUES)[self.data] * up[:n], out=sums[1:])

@@ -69,7 +69,10 @@ def test_null_ids_link_like_others(spark):
 
 
 @pytest.mark.parametrize("seed,batches", [(1, 1), (2, 3), (3, 5)])
-def test_substring_dedup_is_exact_for_any_batches(spark, seed, batches):
+def test_substring_dedup_is_exact_for_any_batches(spark, seed, batches, monkeypatch):
+    if batches > 1:  # many slices, merged in two steps
+        monkeypatch.setattr(substring_dedup, "SLICE", 2_000)
+        monkeypatch.setattr(substring_dedup, "TOGETHER", 3)
     rows = helpers.corpus(seed)
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in substring_dedup.deduplicate(helpers.documents(spark, rows), ["doc_id"], batches=batches, kept=True).collect())
     want = []
@@ -84,16 +87,33 @@ def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.deduplicate(helpers.documents(spark, []), ["doc_id"]).collect() == []
 
 
-def test_index_compacts_its_runs(spark):
+def test_index_compacts_its_runs_and_can_be_opened_again(spark, tmp_path):
     from scriptflow.llm.scratch import Scratch
 
-    docs = helpers.documents(spark, helpers.corpus(4)).select(F.col("text").alias("_text"), F.xxhash64("doc_id").alias("_key"))
-    prints = substring_dedup.fingerprints(docs).cache()
-    index = substring_dedup.FingerprintIndex(spark, Scratch(spark, "test"))
-    for k in range(7):
-        index.add(prints.where(F.pmod("key", F.lit(7)) == k))
-    assert [len(level) for level in index.levels] == [1, 2]
-    assert sum(r.count() for r in index.runs()) == prints.count()
+    scratch = Scratch(spark, "test")
+    docs = helpers.documents(spark, [(i, t) for i, (_, t) in enumerate(helpers.corpus(4))])
+    packed = scratch.bucketed(substring_dedup.pack(docs.repartition(14), ["doc_id"], "text", 7), "slices", "sid", 4)
+    prints = scratch.write(substring_dedup.fingerprints(packed), "prints")
+    folder, hits, seen = f"file://{tmp_path}/index", [], 0
+    for k in range(7):  # a fresh object each time, as a later job would have
+        index = substring_dedup.FingerprintIndex(spark, folder, 3)
+        part = prints.where(F.pmod("sid", F.lit(7)) == k)
+        hits.append({r["m"] for r in index.add(part).collect()})
+        seen += part.count()
+        assert sum(r.count() for r in index.runs()) == seen
+    index = substring_dedup.FingerprintIndex(spark, folder)
+    assert index.buckets == 3 and [len(level) for level in index.levels] == [1, 2]
+    want = {r["m"] for r in prints.groupBy("m").agg(F.count("*").alias("c"), F.max("many").alias("many")).where("c > 1 or many").collect()}
+    assert set().union(*hits) == want and want
+    history = index.runs()[-1].select("m").distinct()
+    plan = history.join(index.runs()[0].select("m"), "m", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_windows_are_told_apart_by_both_hashes():
+    these = np.array([[5, 1], [5, 2], [9, 9]], np.uint64)
+    asked = np.array([[5, 2], [5, 3], [9, 9], [9, 8], [1, 1], [5, 1]], np.uint64)
+    assert substring_dedup._among(asked, these).tolist() == [True, False, True, False, False, True]
 
 
 def test_mix_reaches_targets(spark):
@@ -199,14 +219,16 @@ def test_lm_scores_match_plain_counts(spark):
     assert [r["n_tokens"] for r in out] == [4, 4, 3, 4, 0, 0]
     assert out[-1]["score"] is None and out[-2]["target_loss"] is None
     assert out[0]["score"] < out[2]["score"] < out[3]["score"]
-    total, words, pairs = 8.0, {"a": 4.0, "b": 4.0}, {("", "a"): 2.0, ("a", "b"): 4.0, ("b", "a"): 2.0}
+    total, words, pairs = 10.0, {"a": 4.0, "b": 4.0, "": 2.0}, {("", "a"): 2.0, ("a", "b"): 4.0, ("b", "a"): 2.0, ("b", ""): 2.0}
 
-    def loss(before, w):
+    def chance(before, w):
         share = (words.get(w, 0) + lm_scoring.WORD_MASS) / (total + lm_scoring.WORD_MASS * lm_scoring.WORDS)
-        seen = max(words.get(before, 0), pairs.get((before, w), 0))
-        return -np.log2((pairs.get((before, w), 0) + lm_scoring.PAIR_MASS * share) / (seen + lm_scoring.PAIR_MASS))
+        return (pairs.get((before, w), 0) + lm_scoring.PAIR_MASS * share) / (words.get(before, 0) + lm_scoring.PAIR_MASS)
 
-    assert out[0]["target_loss"] == pytest.approx(np.mean([loss("", "a"), loss("a", "b"), loss("b", "a"), loss("a", "b")]), rel=1e-4)
+    want = -np.log2([chance(x, y) for x, y in [("", "a"), ("a", "b"), ("b", "a"), ("a", "b"), ("b", "")]])
+    assert out[0]["target_loss"] == pytest.approx(want.mean(), rel=1e-6)
+    for before in ("", "a", "b", "never"):  # a distribution over the vocabulary
+        assert sum(chance(before, w) for w in words) + (lm_scoring.WORDS - len(words)) * chance(before, "never") == pytest.approx(1)
     assert lm_scoring.score(docs.limit(0), docs.select("doc_id")).collect() == []
 
 
@@ -215,16 +237,18 @@ def test_lm_counts_of_rare_words_and_pairs_are_their_own(spark):
     n, most = 2_400, 1_000
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {most}), k -> concat('w', id * {most} + k)), ' ')").alias("text"))
     out = lm_scoring.score(docs, docs.where("doc_id < 600").select("doc_id"))
-    total, target, words = n * most, 600 * most, max(lm_scoring.WORDS, n * most)
+    total, target, words = n * (most + 1), 600 * (most + 1), max(lm_scoring.WORDS, n * most + 1)
 
-    def loss(pair, scale):
-        share = (pair * scale + lm_scoring.WORD_MASS) / (target + lm_scoring.WORD_MASS * words)
-        return -np.log2((pair * scale + lm_scoring.PAIR_MASS * share) / (pair * scale + lm_scoring.PAIR_MASS))
+    def loss(pair, texts, scale):
+        """The first word, behind any text's start; the others, each seen once if at all; the end."""
+        p, t, share = pair * scale, texts * scale, lambda c: (c + lm_scoring.WORD_MASS) / (target + lm_scoring.WORD_MASS * words)
+        chances = [(p + lm_scoring.PAIR_MASS * share(p)) / (t + lm_scoring.PAIR_MASS), *[(p + lm_scoring.PAIR_MASS * share(p)) / (p + lm_scoring.PAIR_MASS)] * (most - 1), (p + lm_scoring.PAIR_MASS * share(t)) / (p + lm_scoring.PAIR_MASS)]
+        return -np.log2(chances).mean()
 
     seen = out.groupBy((F.col("doc_id") < 600).alias("t")).agg(F.count("*"), F.min("target_loss"), F.max("target_loss"), F.min("background_loss"), F.max("background_loss")).collect()
     for chosen, rows, *bounds in seen:
         assert rows == (600 if chosen else n - 600)
-        assert bounds == pytest.approx([loss(int(chosen), 1.0)] * 2 + [loss(1, target / total)] * 2, rel=1e-6)
+        assert bounds == pytest.approx([loss(int(chosen), 600, 1.0)] * 2 + [loss(1, n, target / total)] * 2, rel=1e-6)
 
 
 def test_licenses_are_found_and_inherited(spark):
