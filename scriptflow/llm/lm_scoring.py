@@ -6,13 +6,18 @@ the target documents. Every word (A-Z in lower case) and every pair has a count
 the keys it holds, keys are dealt by their leading bits, added up, and the sums go back to the
 slices that asked. A key that is in many texts is sent once by each slice. The driver gets three sums.
 
-The models are matched: background counts are scaled to the target's total, so that smoothing weighs
-the same in both. A word's loss is -log2 of the probability interpolated from its pair, its word
-and a uniform share; a document's score is its mean target loss minus its mean background loss,
-so the lower, the more like the target.
+The models are matched: they share the vocabulary of all documents, and background counts are scaled
+to the target's total, so that smoothing weighs the same in both. A text with words is the sequence
+of its words and an end; each is predicted from the one before, the first from an end. Its loss is -log2
+of the probability interpolated from its pair, its word and a uniform share. Every context is followed
+by one thing, so the probabilities behind each context add up to 1 over the vocabulary, and losses are
+cross-entropies. A document's score is its mean target loss minus its mean background loss, the
+end included, so the lower, the more like the target.
 
 Null and wordless texts have 0 tokens and null losses. Without target documents both models are
-uniform there and scores follow the background alone. Repeated rows count as often as they occur.
+uniform there and scores follow the background alone. Repeated rows count as often as they occur, and
+a repeated or null key in the table of targets changes nothing. A very long text is a slice of its
+own. There are no ties; other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ PAIR_MASS, WORD_MASS = 20.0, 0.1
 #: Bytes of text in a slice, at most for each group of keys, and the least number of groups as a power of 2.
 _SLICE, _GROUP, _BITS = 4 << 20, 8 << 20, 8
 _ODD = np.uint64(1)
+#: The key of a text's end, which is also what stands before its first word.
+_END = np.uint64(0x5851F42D4C957F2C)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -59,22 +66,16 @@ def _texts(row: dict) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), data])
 
 
-def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys (even), pair keys (odd; a first word pairs with the text's start), which words are first, and words by text."""
-    words, pairs, starts, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, np.int64)]
+def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys (even) with an end behind each text that has words, pair keys (odd) of each with what stands before it, and words by text."""
+    words, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for _, _, data, offsets in kernel.slices(texts):
         w = kernel.words(data, offsets)
-        h = w.hashes(lower=True)
-        start = np.zeros(len(h), bool)
-        start[w.first[:-1][w.counts > 0]] = True
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[start] = 0
-        words.append(h & ~_ODD)
-        pairs.append(kernel.mix(before * np.uint64(3) + h) | _ODD)
-        starts.append(start)
+        words.append(np.insert(w.hashes(lower=True) & ~_ODD, w.first[1:][w.counts > 0], _END))
         counts.append(w.counts)
-    return np.concatenate(words), np.concatenate(pairs), np.concatenate(starts), np.concatenate(counts)
+    keys = np.concatenate(words)
+    before = np.r_[_END, keys[:-1]] if len(keys) else keys
+    return keys, kernel.mix(before * np.uint64(3) + keys) | _ODD, np.concatenate(counts)
 
 
 def _slices(texts: DataFrame, kind: T.DataType) -> DataFrame:
@@ -100,10 +101,10 @@ def _asked(slices: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                words, pairs, _, counts = _keys(_texts(row))
+                words, pairs, counts = _keys(_texts(row))
                 if not len(words):
                     continue
-                chosen = np.repeat(np.frombuffer(row["target"], np.uint8), counts)
+                chosen = np.repeat(np.frombuffer(row["target"], np.uint8), counts + (counts > 0))
                 keys, at, n = np.unique(np.concatenate([words, pairs]), return_inverse=True, return_counts=True)
                 hits = np.bincount(at, weights=np.concatenate([chosen, chosen]), minlength=len(keys))
                 group = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -128,14 +129,12 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([table.column("sid"), table.column("part"), *back, *(pa.array(x, pa.int64()) for x in told)], names=["sid", "part", "n", "hits", "vocabulary", "total", "chosen"])
 
 
-def _losses(words: np.ndarray, pairs: np.ndarray, start: np.ndarray, scale: float, whole: float, vocabulary: int) -> np.ndarray:
-    """-log2 of each word's probability, from the counts of its word and of its pair."""
+def _losses(words: np.ndarray, pairs: np.ndarray, scale: float, whole: float, vocabulary: int) -> np.ndarray:
+    """-log2 of each word's probability, from the counts of its word, of its pair and of the word before."""
     words, pairs = words * scale, pairs * scale
-    seen = np.zeros(len(words))
-    seen[1:] = words[:-1]
-    seen[start] = 0
+    before = np.r_[words[-1:], words[:-1]]  # the last is an end, and so is what stands before the first
     share = (words + WORD_MASS) / (whole + WORD_MASS * vocabulary)
-    return -np.log2(np.minimum((pairs + PAIR_MASS * share) / (np.maximum(seen, pairs) + PAIR_MASS), 1.0))
+    return -np.log2((pairs + PAIR_MASS * share) / (before + PAIR_MASS))
 
 
 def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,17 +158,18 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
 
     def run(slice_: pa.Table, told: pa.Table) -> pa.Table:
         row = slice_.select(["target", "offsets", "data"]).to_pylist()[0]
-        words, pairs, start, n = _keys(_texts(row))
+        words, pairs, n = _keys(_texts(row))
         keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
         told = told.sort_by("part")
-        first, means = np.concatenate([[0], np.cumsum(n)]), []
+        events = n + (n > 0)
+        first, means = np.concatenate([[0], np.cumsum(events)]), []
         for column, (scale, all_) in zip(("hits", "n"), models, strict=True):
             sums = np.concatenate([np.empty(0, np.uint64), *(_unpacked(x) for x in told.column(column).to_pylist())]).astype(np.float64)
             if len(sums) != len(keys):
                 raise ValueError(f"{len(sums)} counts for {len(keys)} keys")
             own = sums[at]
-            losses = np.concatenate([[0.0], np.cumsum(_losses(own[: len(words)], own[len(words) :], start, scale, all_, vocabulary))])
-            means.append(np.diff(losses[first]) / np.maximum(n, 1))
+            losses = np.concatenate([[0.0], np.cumsum(_losses(own[: len(words)], own[len(words) :], scale, all_, vocabulary))])
+            means.append(np.diff(losses[first]) / np.maximum(events, 1))
         none = n == 0
         values = slice_.column("keys").combine_chunks().flatten()
         return pa.table([values, pa.array(n, pa.int64()), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], names=schema.names)
