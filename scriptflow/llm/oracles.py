@@ -30,9 +30,12 @@ def mix() -> str:
 s AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS ratio FROM s),
 lv AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM s) - coalesce(sum(cap) OVER (ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-t AS (SELECT source, source_size, least(cap, (SELECT coalesce(arg_min(level, ratio) FILTER (level <= ratio), 0) FROM lv) * weight) AS target FROM lv),
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs, CAST(floor(t.target + 0.5) AS BIGINT) AS need FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE need // source_size * size + greatest(0, least(size, need - need // source_size * source_size - offs)) END AS BIGINT) AS taken FROM o"""
+t AS (SELECT source, weight, source_size, least(cap, (SELECT coalesce(arg_min(level, ratio) FILTER (level <= ratio), 0) FROM lv) * weight) AS target FROM lv),
+o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs, CAST(floor(t.target + 0.5) AS BIGINT) AS need FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE need // source_size * size + greatest(0, least(size, need - need // source_size * source_size - offs)) END AS BIGINT) AS taken,
+CAST(CASE WHEN size = 0 THEN 0 ELSE (offs < need)::INT + (offs + source_size < need)::INT + (offs + 2 * source_size < need)::INT END AS BIGINT) AS passes,
+-- the schedules of weights 1.5 - x, 1 and 0.5 + x over time x, integrated and inverted
+round(CASE WHEN size > 0 AND offs < need THEN CASE weight WHEN 1 THEN 1.5 - sqrt(greatest(2.25 - 2 * offs / need, 0)) WHEN 2 THEN offs / need ELSE sqrt(0.25 + 2 * offs / need) - 0.5 END END, 6) AS first_position FROM o"""
 
 
 def substrings() -> str:

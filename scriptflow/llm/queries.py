@@ -43,7 +43,9 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """With the number of passes over each document and the training time of the first one."""
+    plan = source_mix.mix(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("passes"), F.round(F.get("positions", 0), 6).alias("first_position"))
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, keys: list[str]) -> DataFrame:
