@@ -2,11 +2,13 @@
 
 Many trees split the vectors at random hyperplanes; vectors near a hyperplane go to both sides.
 Upper splits are fitted on a bounded sample and route every vector; a task splits its leaf
-further. Within leaves all pairs are compared by cosine in double precision, links of all trees
-are united, and connected components give the groups.
+further. Within leaves vectors are compared by cosine in double precision, and so many links as
+connect what is linked are kept; those of all trees are united, and connected components give the
+groups. How many vectors each one links with is then counted within its group, exactly, so a group
+of any size costs a row a vector and task, never one a pair.
 
 Only vectors of one label and one length are compared. Equal vectors are one vector throughout,
-so exact copies cost nothing but their rows. A leaf too large for one task is cut into chunks of
+so exact copies cost nothing but their rows. A leaf or group too large for one task is cut into chunks of
 which every two meet in one task. Vectors that are null, zero or hold null or non-finite
 components, and those without a label, link with nothing. Repeated rows are separate vectors
 that link with each other. Recall is measured against brute force in the tests.
@@ -14,7 +16,7 @@ that link with each other. Recall is measured against brute force in the tests.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,32 +48,98 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _pairs(x: np.ndarray, ids: np.ndarray, least: float, side: np.ndarray | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the leaves of a task's vectors; with side, only between rows of different sides."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+def _tree(near: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, block: int = 2048) -> np.ndarray:
+    """Pairs of places 0..size-1 that connect what links connect, one pair a place at most. near: which of some places link with which of others."""
+    free, found = np.ones(size, bool), [np.empty((0, 2), np.int64)]
+    while free.any():
+        front = np.flatnonzero(free)[:1]
+        free[front] = False
+        while len(front):
+            reached = []
+            for a in range(0, len(front), block):
+                rows, rest = front[a : a + block], np.flatnonzero(free)
+                if not len(rest):
+                    break
+                hit = near(rows, rest)
+                some = hit.any(0)
+                found.append(np.column_stack([rows[hit.argmax(0)[some]], rest[some]]))
+                free[rest[some]] = False
+                reached.append(rest[some])
+            front = np.concatenate(reached) if reached else front[:0]
+    return np.concatenate(found)
+
+
+def _connecting(x: np.ndarray, ids: np.ndarray, least: float, side: np.ndarray | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is linked within the leaves of a task's vectors; with side, only between rows of different sides."""
     norms = np.linalg.norm(x, axis=1)
-    found = []
-    for idx in rp_forest.leaves(unit, LEAF, SPILL, np.random.default_rng(seed)):
-        for a in range(0, len(idx), 2048):
-            rows = idx[a : a + 2048]
-            for b in range(a, len(idx), 2048):
-                cols = idx[b : b + 2048]
-                cosine = (x[rows] @ x[cols].T) / (norms[rows][:, None] * norms[cols])
-                i, j = np.nonzero(cosine >= least)
-                i, j = rows[i], cols[j]
-                ok = (i < j) if side is None else (side[i] != side[j])
-                found.append(np.column_stack([i[ok], j[ok]]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.concatenate(found)
-    p, q = np.minimum(ids[both[:, 0]], ids[both[:, 1]]), np.maximum(ids[both[:, 0]], ids[both[:, 1]])
-    unique = np.unique(np.column_stack([p, q]), axis=0)
-    unique = unique[unique[:, 0] != unique[:, 1]]
-    return unique[:, 0], unique[:, 1]
+    found = [np.empty((0, 2), np.int64)]
+    for idx in rp_forest.leaves(x / norms[:, None], LEAF, SPILL, np.random.default_rng(seed)):
+
+        def near(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+            r, c = idx[rows], idx[cols]  # noqa: B023
+            hit = (x[r] @ x[c].T) / (norms[r][:, None] * norms[c]) >= least
+            return hit if side is None else hit & (side[r][:, None] != side[c])
+
+        if len(idx) <= 2 * LEAF:  # most leaves hold no or few links: one product tells
+            every = near(np.arange(len(idx)), np.arange(len(idx)))
+            np.fill_diagonal(every, False)
+            linked = np.flatnonzero(every.any(0))
+            if len(linked):
+                found.append(idx[linked[_tree(lambda r, c: every[np.ix_(linked[r], linked[c])], len(linked))]])  # noqa: B023
+        else:
+            found.append(idx[_tree(near, len(idx))])
+    both = ids[np.unique(np.concatenate(found), axis=0)]
+    return both[:, 0], both[:, 1]
+
+
+def _degrees(x: np.ndarray, n: np.ndarray, least: float, side: np.ndarray | None) -> np.ndarray:
+    """For each row the copies (n) of the others that it links with; with side, only those of the other side."""
+    norms, out = np.linalg.norm(x, axis=1), np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 1024):
+        rows = slice(a, a + 1024)
+        hit = (x[rows] @ x.T) / (norms[rows][:, None] * norms) >= least
+        if side is not None:
+            hit &= side[rows][:, None] != side
+        else:
+            hit[np.arange(len(hit)), np.arange(a, a + len(hit))] = False
+        out[rows] = hit @ n
+    return out
+
+
+def _chunked(rows: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """Adds i, j and side, and k, the number of chunks of the row's group: a group of more than CHUNK rows is cut into chunks of which every two meet."""
+    counts = rows.groupBy(*by).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).where("k > 1")
+    counts = scratch.write(counts, name)
+    placed = rows.join(F.broadcast(counts) if counts.limit(10_000).count() < 10_000 else counts, by, "left")
+    chunk = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j"), chunk.alias("side")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    return placed.withColumn("m", F.explode(F.when(F.col("k") > 1, meets).otherwise(alone))).select("*", "m.i", "m.j", "m.side").drop("m")
+
+
+def degrees(vectors: DataFrame, groups: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(id, others): the copies of other vectors that each vector in a group links with. All links lie within groups, so
+    counting them there is exact; a task takes some small groups, or two chunks of a large one, and gives a row a vector."""
+    rows = vectors.join(groups, "id").select("id", "n", "vec", "component")
+    buckets = rows.count() // COARSE + 1
+    placed = _chunked(rows, ["component"], scratch, "large")
+    task = F.when(F.col("k") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("component")
+        component, dims = table["component"].to_numpy(), table["vec"]
+        cuts = np.flatnonzero(np.r_[True, component[1:] != component[:-1], True])
+        side = table["side"].to_numpy() if key[1].as_py() != key[2].as_py() else None
+        n, found = table["n"].to_numpy(), []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found.append(_degrees(matrix(dims.slice(a, b - a).combine_chunks()), n[a:b], least, None if side is None else side[a:b]))
+        return pa.table({"id": table["id"], "others": pa.array(np.concatenate(found), pa.int64())})
+
+    return placed.select(task.alias("task"), "i", "j", "side", "component", "id", "n", "vec").groupBy("task", "i", "j").applyInArrow(count, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
 
 
 def links(vectors: DataFrame, least: float, scratch: Scratch, trees: int = TREES) -> DataFrame:
-    """(a, b): ids of linked vectors, each pair once. vectors: id long, vec array<double>, cell (label and length)."""
+    """(a, b): ids of linked vectors, as many pairs as connect what the trees find. vectors: id long, vec array<double>, cell (label)."""
     stats = vectors.groupBy("cell", F.size("vec").alias("dim")).count()
     sizes = stats.groupBy("dim").agg(F.max("count").alias("n")).collect()
     out = None
@@ -81,7 +149,7 @@ def links(vectors: DataFrame, least: float, scratch: Scratch, trees: int = TREES
         sample = hash_sample(same.select("id", "vec"), "id", rp_forest.SAMPLE).select("vec").toPandas()["vec"]
         x = np.array(sample.tolist(), np.float64).reshape(len(sample), dim)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        depth = int(np.clip(np.ceil(np.log2(max(1, most / COARSE))), 0, max(0, np.log2(max(1, len(x) / 32)))))
+        depth = int(np.clip(np.ceil(np.log2(max(1, most / COARSE))), 0, max(0, np.log2(max(1, len(x) / 4)))))
         forest = same.sparkSession.sparkContext.broadcast(rp_forest.fit(x, trees, depth, 8))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,18 +165,12 @@ def links(vectors: DataFrame, least: float, scratch: Scratch, trees: int = TREES
 
         kind = same.schema["cell"].dataType.simpleString()
         routed = scratch.write(same.select("id", "vec", "cell").mapInArrow(route, f"id long, vec array<double>, cell {kind}, tree int, leaf int"), f"routed-{dim}")
-        counts = routed.groupBy("cell", "tree", "leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
-        large = counts.where("k > 1")
-        placed = routed.join(F.broadcast(large) if large.limit(10_000).count() < 10_000 else large, ["cell", "tree", "leaf"], "left")
-        chunk = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-        meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j"), chunk.alias("side")))
-        alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-        placed = placed.withColumn("m", F.explode(F.when(F.col("k") > 1, meets).otherwise(alone))).select("cell", "tree", "leaf", "m.i", "m.j", "m.side", "id", "vec")
+        placed = _chunked(routed, ["cell", "tree", "leaf"], scratch, f"large-{dim}").select("cell", "tree", "leaf", "i", "j", "side", "id", "vec")
 
         def compare(key: tuple, table: pa.Table) -> pa.Table:
             i, j = key[3].as_py(), key[4].as_py()
             side = table["side"].to_numpy() if i != j else None
-            p, q = _pairs(matrix(table["vec"].combine_chunks()), table["id"].to_numpy(), least, side, 7 * key[1].as_py() + 1)
+            p, q = _connecting(matrix(table["vec"].combine_chunks()), table["id"].to_numpy(), least, side, 7 * key[1].as_py() + 1)
             return pa.table({"a": pa.array(p, pa.int64()), "b": pa.array(q, pa.int64())})
 
         found = placed.groupBy("cell", "tree", "leaf", "i", "j").applyInArrow(compare, "a long, b long")
@@ -128,9 +190,8 @@ def deduplicate(table: DataFrame, least: float = 0.93, key: str = "vec_id", vect
     copies = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.first("vec").alias("vec"), F.first("cell").alias("cell"))
     vectors = scratch.write(copies, "vectors")
     found = scratch.write(links(vectors, least, scratch, trees), "links")
-    both = found.union(found.select("b", "a"))
-    degree = both.join(vectors.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    groups = connected_components(found, scratch, "groups").withColumnRenamed("node", "id")
+    groups = scratch.write(connected_components(found, scratch, "groups").withColumnRenamed("node", "id"), "placed")
+    degree = degrees(vectors, groups, least, scratch)
     placed = vectors.select("id", "n").join(degree, "id", "left").join(groups, "id", "left")
     placed = placed.select("id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))
     own = rows.select("_key", "id").join(placed, "id", "left")
