@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rp_forest
+from . import kernel, rp_forest
 from .distributed import hash_sample, ranked
 from .embedding_dedup import matrix, usable
 from .scratch import Scratch
@@ -36,10 +36,10 @@ from .scratch import Scratch
 NEIGHBOURS, REVERSE = 48, 48
 #: Trees and leaf size of the start; entries that each leaf gives.
 TREES, LEAF, START = 6, 400, 24
-#: Rounds end when a smaller share of entries changes, or after so many.
-SETTLED, ROUNDS = 0.02, 8
+#: Rounds end when a smaller share of entries changes.
+SETTLED = 0.02
 #: Best nodes that a search keeps, and expands at once.
-BEAM, EXPAND, SEARCH_ROUNDS = 96, 48, 6
+BEAM, EXPAND = 96, 48
 #: Nodes of a block, about.
 BLOCK = 4_096
 
@@ -104,6 +104,15 @@ def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, flag: np.ndar
     return ids, scores, flags
 
 
+def _few(listed: np.ndarray, by: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of those that list a node REVERSE at most, by a hash of both and the turn."""
+    mixed = by.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + listed.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn)
+    order = np.lexsort((kernel.mix(mixed), listed))
+    listed, by = listed[order], by[order]
+    kept = np.arange(len(listed)) - np.searchsorted(listed, listed) < REVERSE
+    return listed[kept], by[kept]
+
+
 def _by_block(values: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(block, indices into values) of each block."""
     order = np.argsort(blocks, kind="stable")
@@ -170,6 +179,7 @@ def _graph(nodes: DataFrame, total: int, scratch: Scratch) -> DataFrame:
             for a in range(0, len(node), 1024):
                 out.add(blk, _STATE, node[a : a + 1024], x[a : a + 1024], new[a : a + 1024], best[a : a + 1024], query[a : a + 1024])
             listed, by = new[new >= 0], np.repeat(node, (new >= 0).sum(1))
+            listed, by = _few(listed, by, turn)  # so a hub's block gets so many of each block, not all that list it
             for to, at in _by_block(listed, block_of(listed)):
                 out.add(to, _LISTING, listed[at], by[at])
             changed = int((np.sort(new, 1) != np.sort(ids, 1)).any(1).sum()) if not have.any() else int((~np.isin(new * np.int64(1 << 31) + np.arange(len(node))[:, None], ids * np.int64(1 << 31) + np.arange(len(node))[:, None])).sum())
@@ -202,8 +212,9 @@ def _graph(nodes: DataFrame, total: int, scratch: Scratch) -> DataFrame:
             who = np.repeat(np.arange(len(member)), counts)
             listed = values < 0
             centre = np.where(listed, ~values, values)
-            # a centre's own entries first (it listed them), then those that list it, in an order by hash
-            rank = np.where(listed, 0, 1 + (member[who] * 2654435761 % 1_000_003))
+            # a centre's own entries first (it listed them), then those that list it, in an order by hash that each round draws anew
+            drawn = kernel.mix(member[who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + centre.astype(np.uint64) + np.uint64(turn << 48))
+            rank = np.where(listed, np.uint64(0), np.uint64(1) + (drawn >> np.uint64(1)))
             order = np.lexsort((rank, centre))
             who, centre, listed = who[order], centre[order], listed[order]
             cuts = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1], True])
@@ -243,19 +254,20 @@ def _graph(nodes: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     def deal(df: DataFrame) -> DataFrame:
         return df.repartition(tasks, "blk")
 
+    turn = 0
     leaves = nodes.select(F.posexplode("leaves").alias("tree", "leaf"), "node", "vec")
     finds = leaves.groupBy("tree", "leaf").applyInArrow(start, _SCHEMA)
     state = nodes.select("node", "vec", "is_query").mapInArrow(pack, _SCHEMA)
     state = scratch.write(deal(state.union(finds)).mapInArrow(merge, _SCHEMA), "graph-0")
-    for turn in range(1, ROUNDS + 1):
+    while True:
+        turn += 1
         around = deal(state.where(F.col("kind").isin(_STATE, _LISTING))).mapInArrow(meet, _SCHEMA)
         finds = deal(around).mapInArrow(join, _SCHEMA)
         state = scratch.write(deal(state.where(F.col("kind") == _STATE).union(finds)).mapInArrow(merge, _SCHEMA), f"graph-{turn}")
         scratch.drop(f"graph-{turn - 1}")
         counts = state.where(F.col("kind") == _COUNT).select("c0").collect()  # one number a block
         if sum(int(np.frombuffer(r["c0"], np.int64)[0]) for r in counts) <= SETTLED * total * NEIGHBOURS:
-            break
-    return state
+            return state
 
 
 class _Blocks:
@@ -300,12 +312,10 @@ def _search(state: DataFrame, total: int, scratch: Scratch) -> DataFrame:
                 continue
             node, _, ids, _, _ = kinds[_STATE]
             listed, by = kinds.get(_LISTING, (np.empty(0, np.int64), np.empty(0, np.int64)))
-            order = np.lexsort((by * 2654435761 % 1_000_003, listed))  # of those that list a node, a sample by hash
-            listed, by = listed[order], by[order]
-            few = np.arange(len(listed)) - np.searchsorted(listed, listed) < REVERSE
+            listed, by = _few(listed, by, 0)
             have = ids.reshape(len(node), -1) >= 0
-            start = np.concatenate([np.repeat(node, have.sum(1)), listed[few]])
-            end = np.concatenate([ids[ids >= 0], by[few]])
+            start = np.concatenate([np.repeat(node, have.sum(1)), listed])
+            end = np.concatenate([ids[ids >= 0], by])
             order = np.argsort(start, kind="stable")
             start, end = start[order], end[order]
             query, x, worst, counts, wanted = kinds[_ASK]
@@ -372,7 +382,9 @@ def _search(state: DataFrame, total: int, scratch: Scratch) -> DataFrame:
         return df.repartition(tasks, "blk")
 
     queries = scratch.write(graph.where(F.col("kind") == _STATE).mapInArrow(begin, _SCHEMA), "search-0")
-    for turn in range(1, SEARCH_ROUNDS + 1):
+    turn = 0
+    while True:
+        turn += 1
         asked = queries.where(F.col("kind") == _QUERY).mapInArrow(ask, _SCHEMA)
         wider = deal(graph.union(asked)).mapInArrow(expand, _SCHEMA)
         scored = deal(graph.where(F.col("kind") == _STATE).union(wider)).mapInArrow(score, _SCHEMA)
@@ -403,7 +415,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
         total = same.count()
         sample = np.array(hash_sample(same.select("nid", "vec"), "nid", rp_forest.SAMPLE).select("vec").toPandas()["vec"].tolist(), np.float64).reshape(-1, dim)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-        depth = int(np.clip(np.ceil(np.log2(max(1, total / (4 * LEAF)))), 0, max(0, np.log2(max(1, len(sample) / 32)))))
+        depth = int(np.clip(np.ceil(np.log2(max(1, total / (4 * LEAF)))), 0, max(0, np.log2(max(1, len(sample) / 4)))))
         forest = spark.sparkContext.broadcast(rp_forest.fit(sample, TREES, depth, 10))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
