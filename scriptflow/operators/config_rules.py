@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import lines_of
 from .rules import Project, found
 
+# Properties whose texts are code.
+CODE_FIELDS = """
+    onload onunload ondestroy onchilddestroyed oncandestroy onbuttonclick onbuttondblclick onbuttondown onbuttonup onmousebuttondown
+    onmousebuttonup onmousebuttonclick onmousebuttondblclick onmousezchanged onmousemoving onmouseholding onkeydown onkeyup onchar
+    onimechar onsetfocus onkillfocus ontimer onlbselchanged onlbdblclick onlbdrag onlbdragging onlbdrop ontreeselchanged ontreedblclick
+    ontreeexpanded ontreecollapsed ontreemousedown ontreemouseup ontreemousemove ontreemouseholding ontreemouseexit oncheckedchanged
+    onchecked onsliderposchanged ontoolboxselchanged onvideostopped onhtmllink ondraw expression statement condition code
+""".split()
+
 
 def _outside_macros(p: Project) -> DataFrame:
     """Significant tokens outside the lines of #define, which go on where a line ends with a backslash."""

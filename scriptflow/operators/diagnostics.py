@@ -115,8 +115,8 @@ def drop_in_headers(d: DataFrame, ext: Column) -> DataFrame:
 
 
 def fingerprints(d: DataFrame | None = None) -> Column:
-    """The fingerprint of a row's file, code, place and message."""
-    return fingerprint(F.col("file"), F.col("code"), F.col("line"), F.col("column"), F.col("message"))
+    """The fingerprint of a row's code, file, place and message."""
+    return fingerprint(F.col("code"), F.col("file"), F.col("line"), F.col("column"), F.col("message"))
 
 
 def without_baseline(d: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -133,6 +133,15 @@ def first_findings(d: DataFrame, most: int) -> DataFrame:
     return d.orderBy("file", "pass_no", "seq", "line", "column", "code", "message").limit(most)
 
 
+def reported(d: DataFrame, most: int | None = None, baseline: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """What is shown: the first findings, of them those that the baseline lacks, of those again the first, on changed lines."""
+    if most is not None:
+        d = first_findings(d, most)
+    if baseline is not None:
+        d = without_baseline(d, baseline)
+    return d if changed is None else on_changed_lines(d, changed)
+
+
 def rank_of(severity: Column) -> Column:
     return F.when(severity == "error", 3).when(severity == "warning", 2).when(severity == "info", 1).otherwise(0)
 

@@ -90,6 +90,10 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, severity string, name string, categories array<string>")
 
 
+def empty_registry(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "kind string, name string")
+
+
 @dataclass
 class Project:
     """Sources (file, text, and what else there is) and the names that are known. Registries are data:

@@ -98,7 +98,7 @@ def enclosed(sig: DataFrame, kinds: list[str] | None = None, only: DataFrame | N
 
 def items(sig: DataFrame) -> DataFrame:
     """Top-level items of matched square brackets: file, s (opener), close, item (from 0), size (number of
-    items), type, value and place of the item's first token, and n, its tokens that aren't within further brackets.
+    items), at, type, value and place of the item's first token, and n, its tokens that aren't within further brackets.
     An array without tokens has no items."""
     arrays = sig.where("type = 'lbracket'").select("file", F.col("s").alias("parent"))
     inner = enclosed(sig).join(arrays, ["file", "parent"], "left_semi").where("s < parent_close")
@@ -107,4 +107,4 @@ def items(sig: DataFrame) -> DataFrame:
     numbered = numbered.withColumn("size", F.max("item").over(Window.partitionBy("file", "parent")) + 1)
     closers = F.col("type").isin(*CLOSERS)
     lone = numbered.where("not _cut").groupBy("file", "parent", "parent_close", "item", "size").agg(F.min(F.struct("s", "type", "v", "value", "line", "col")).alias("f"), F.sum((~closers).cast("int")).alias("n"))
-    return lone.select("file", F.col("parent").alias("s"), F.col("parent_close").alias("close"), "item", "size", F.col("f.type").alias("type"), F.col("f.v").alias("v"), F.col("f.value").alias("value"), F.col("f.line").alias("line"), F.col("f.col").alias("col"), "n")
+    return lone.select("file", F.col("parent").alias("s"), F.col("parent_close").alias("close"), "item", "size", F.col("f.s").alias("at"), F.col("f.type").alias("type"), F.col("f.v").alias("v"), F.col("f.value").alias("value"), F.col("f.line").alias("line"), F.col("f.col").alias("col"), "n")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
-from ..operators import config_rules, diagnostics, flow, includes, lexer, preprocess, rules, sinks, structure, symbols
+from ..operators import addons, config_rules, diagnostics, flow, includes, lexer, preprocess, rules, sinks, structure, symbols, types
 from ..session import shared_dir
 from ..sources import files
 from ..streaming import watch
@@ -275,7 +275,7 @@ def rule_selection(spark, sf_dir):
     return diagnostics.select_rules(made_diagnostics(spark, sf_dir), ["flow", "E003"], rules.catalog(spark)).groupBy("code").agg(F.count("*").alias("n"))
 
 
-_PRINT = "substring(sha256(concat_ws('|', file, code, CAST(line AS VARCHAR), CAST(\"column\" AS VARCHAR), message)), 1, 24)"
+_PRINT = "substring(sha256(concat_ws('|', code, file, CAST(line AS VARCHAR), CAST(\"column\" AS VARCHAR), message)), 1, 24)"
 
 
 @query("fingerprints", f"{_D} SELECT DISTINCT {_PRINT} AS fingerprint FROM d")
@@ -405,16 +405,13 @@ def longest_prefix_owner(spark, sf_dir):
     f = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""), F.lit("/x")).alias("name"))
     stem = lambda n: F.substring_index("name", "/", n)
     stems = f.select(stem(1).alias("stem"), F.lit("host").alias("owner")).union(f.where("page_id % 4 = 0").select(stem(2), F.lit("folder"))).distinct()
-    # every prefix of a name is a row, so that the prefix join is one on equal keys
-    parts = F.split("name", "/")
-    prefixes = f.select("name").distinct().select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("stem"))
-    return prefixes.join(stems, "stem").groupBy("name").agg(F.max_by("owner", F.length("stem")).alias("owner"))
+    return addons.owners(f, stems, "/")
 
 
 @query("latest_assignment_asof", "SELECT event_id, coalesce(CAST(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), -1) AS assigned FROM events")
 def latest_assignment_asof(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return _table(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w), F.lit(-1)).alias("assigned"))
+    rows = _table(spark, sf_dir, "events").withColumn("assigns", F.col("event_type") == "purchase")
+    return types.latest(rows, ["user_id"], ["ts", "event_id"], "event_id", "assigns").select("event_id", F.coalesce("last", F.lit(-1)).alias("assigned"))
 
 
 @query("branch_intersection", "SELECT user_id, list_sort(list_intersect(list(DISTINCT event_type) FILTER (event_id % 2 = 0), list(DISTINCT event_type) FILTER (event_id % 2 = 1)))::VARCHAR AS both FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 2 = 0) > 0 AND count(*) FILTER (event_id % 2 = 1) > 0")
@@ -443,19 +440,18 @@ def incremental_equals_full(spark, sf_dir):
 
 @query("conflicting_types", "SELECT user_id, count(DISTINCT event_type) AS kinds, array_to_string(list_sort(list(DISTINCT event_type)), '|') AS merged FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
 def conflicting_types(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("t"))
-    return e.where("size(t) > 1").select("user_id", F.size("t").alias("kinds"), F.array_join("t", "|").alias("merged"))
+    return types.merged(_table(spark, sf_dir, "events"), ["user_id"], "event_type").where("kinds > 1")
 
 
 @query("element_type_homogeneous", "SELECT l_orderkey AS k, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS element FROM lineitem GROUP BY l_orderkey")
 def element_type_homogeneous(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.when(F.min("l_returnflag") == F.max("l_returnflag"), F.min("l_returnflag")).alias("element"))
+    return types.homogeneous(_table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k"), ["k"], "l_returnflag")
 
 
 @query("core_alias_closure", "WITH n AS (SELECT DISTINCT 'T' || CAST(s_nationkey AS VARCHAR) || '_core_fnc_' || CAST(s_suppkey % 7 AS VARCHAR) AS name FROM supplier) SELECT name FROM n UNION SELECT replace(name, '_core_fnc_', '_fnc_') FROM n")
 def core_alias_closure(spark, sf_dir):
     n = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("T"), F.col("s_nationkey").cast("string"), F.lit("_core_fnc_"), (F.col("s_suppkey") % 7).cast("string")).alias("name"))
-    return n.union(n.select(F.regexp_replace("name", "_core_fnc_", "_fnc_"))).distinct()
+    return symbols.core_aliases(n)
 
 
 @query("changed_lines_from_hunks", "SELECT DISTINCT 'f' || CAST(o_custkey % 20 AS VARCHAR) || '.sqf' AS file, CAST(unnest(range(o_orderkey % 90 + 1, o_orderkey % 90 + 1 + o_orderkey % 4)) AS BIGINT) AS line FROM orders")
@@ -534,3 +530,5 @@ def streaming_changed_files(spark, sf_dir):
 
 
 ORACLES["streaming_changed_files"] = f"{SCRIPTS_SQL} SELECT file, CAST(n AS BIGINT) AS line, CAST(length(rtrim(text, ' ' || chr(9))) + 1 AS BIGINT) AS \"column\", 'trailing whitespace at character ' || CAST(length(rtrim(text, ' ' || chr(9))) + 1 AS VARCHAR) AS message FROM ({_LINES}) WHERE text <> rtrim(text, ' ' || chr(9))"
+
+from . import project_queries  # noqa: E402, F401 - registers its queries

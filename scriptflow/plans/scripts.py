@@ -62,7 +62,7 @@ TAIL = """CASE
  WHEN user_id % 6 = 2 THEN chr(10) || 'fn_a = { params ["_a", "_b"]; { private _a = 1; hint str _a; } forEach [1, [2, {3}]]; method; private _a = 2; private _a = 3; _b };'
  WHEN user_id % 6 = 3 THEN chr(10) || 'private ["_i", "_k"]; for "_i" from 0 to 1 do { ctrl ctrlAddEventHandler ["x", [{ params ["_c"]; params "_d"; }]]; { params ["_e", "_k"]; } }; hint "open ""quoted"" text'
  WHEN user_id % 6 = 4 THEN chr(10) || '0 spawn { params ["_p"]; { _x } count _p }; [_p select { _x > 1 }, 2 call { params ["_q"]; [_q] }] call fn_3; hint (str _p + "a" "b"); /* open'
- ELSE '' END"""
+ ELSE chr(10) || '_c = 1; if (_c == "x") exitWith {}; _d = "s"; if (_d != "t" && true == 1) then { 2 > "q"; }; configFile >> "a" > 5; ("x" find "y") == "z"; _n call 5; _c call fn_1; [1, "a", true, {_c}] call fn_2; [_d, _c, [1]] call fn_1; _t = true; if (_t == _c) then { publicVariable _c; str _t; }; _x == "n"; _q = [1, 2]; hint _q; unit setPos _d; _f = count "x"; if (_f == "s") then {}; if (typeName _d == 5) then {}; _y = 4; _y isEqualType 1; _y == "g"; spawn _t;' END"""
 
 _EVENTS = """SELECT user_id, ts, event_id AS e, event_type AS et, k, CAST(k AS STRING) AS ks, CAST(k % 5 AS STRING) AS k5, CAST(k % 7 AS STRING) AS k7, CAST(k % 13 AS STRING) AS k13
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)"""

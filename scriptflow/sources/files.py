@@ -30,6 +30,15 @@ def read_corpus(spark: SparkSession, path: str, extensions: Iterable[str] = SOUR
     return found.where(kept).select(F.col("path").alias("file"), extension(F.col("path")).alias("ext"), F.expr("decode(content, 'UTF-8')").alias("text"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
 
 
+def read_paths(spark: SparkSession, paths: Iterable[str], **options: object) -> DataFrame:
+    """Files and folders as one corpus, each file once."""
+    out = None
+    for path in paths:
+        part = read_corpus(spark, path, **options)
+        out = part if out is None else out.unionByName(part)
+    return out.dropDuplicates(["file"])
+
+
 def from_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """Snippets by label as a corpus."""
     rows = [(name, text, len(text.encode())) for name, text in texts.items()]
