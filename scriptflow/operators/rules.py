@@ -111,7 +111,7 @@ class Project:
 
     @cached_property
     def sig(self) -> DataFrame:
-        made = lexer.significant(self.tokens)
+        made = lexer.significant(self.__dict__.get("tokens") or lexer.tokens(self.sources))
         return kept_by(made, "significant", "file") if self.keep else made
 
     def known(self, kinds: Iterable[str]) -> DataFrame:
@@ -250,13 +250,12 @@ def overwritten_definitions(p: Project) -> DataFrame:
 def _local_declarations(p: Project) -> DataFrame:
     """Locals declared by private or params, one name or an array of names: file, s, name, value, line, col,
     key (position of the keyword), word, listed, scope and scope_end (the innermost braces; null at the top)."""
-    sig = structure.enclosed(p.sig, ["lbrace"]).withColumnsRenamed({"parent": "scope", "parent_close": "scope_end"})
-    columns = ["file", "s", F.col("v").alias("name"), "value", "line", "col", "scope", "scope_end"]
-    lone = sig.where("p1t = 'keyword' and p1v in ('private','params') and type = 'local'").select(*columns, (F.col("s") - 1).alias("key"), F.col("p1v").alias("word"), F.lit(False).alias("listed"))
-    heads = p.sig.where("type = 'lbracket' and p1t = 'keyword' and p1v in ('private','params')").select("file", F.col("s").alias("array"), (F.col("s") - 1).alias("key"), F.col("p1v").alias("word"), F.lit(True).alias("listed"))
-    inside = structure.enclosed(p.sig, ["lbracket"]).where("type = 'string' and startswith(value, '_')").select("file", "s", F.col("parent").alias("array"))
-    strings = sig.where("type = 'string' and startswith(value, '_')").select(*columns)
-    return lone.unionByName(strings.join(inside, ["file", "s"]).join(heads, ["file", "array"]).drop("array"))
+    columns = ["file", "s", F.col("v").alias("name"), "value", "line", "col"]
+    lone = p.sig.where("p1t = 'keyword' and p1v in ('private','params') and type = 'local'").select(*columns, (F.col("s") - 1).alias("key"), F.col("p1v").alias("word"), F.lit(False).alias("listed"))
+    heads = p.sig.where("type = 'lbracket' and p1t = 'keyword' and p1v in ('private','params')").select("file", F.col("s").alias("parent"), (F.col("s") - 1).alias("key"), F.col("p1v").alias("word"), F.lit(True).alias("listed"))
+    strings = p.sig.where("type = 'string' and startswith(value, '_')").select(*columns)
+    listed = structure.enclosed(p.sig, ["lbracket"], of=strings).join(heads, ["file", "parent"]).select(*lone.columns)
+    return structure.enclosed(p.sig, ["lbrace"], of=lone.unionByName(listed)).withColumnsRenamed({"parent": "scope", "parent_close": "scope_end"})
 
 
 def _callbacks(p: Project) -> DataFrame:
@@ -274,7 +273,8 @@ def unused_locals(p: Project) -> DataFrame:
     are parameter lists in the callbacks of event handlers, whose parameters the engine supplies.
 
     Only the next use of a name matters: one window by file and name, and one that finds the widest callback around a list."""
-    including = p.tokens.where("type = 'preprocessor' and lower(value) like 'include%'").select("file").distinct()
+    perhaps = p.sources.where(F.contains(F.lower("text"), F.lit("include")))
+    including = lexer.tokens(perhaps).where("type = 'preprocessor' and lower(value) like 'include%'").select("file").distinct()
     made = _local_declarations(p).where("name not in ('_x','_this','_thisargs')").join(including, "file", "left_anti")
     before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     callbacks = _callbacks(p).select("file", F.col("s").alias("_at"), F.coalesce("close", F.lit(1 << 30)).alias("_close"))
@@ -292,16 +292,16 @@ def unused_locals(p: Project) -> DataFrame:
 def shadowed_locals(p: Project, external: DataFrame | None = None) -> DataFrame:
     """A local declared again in the same scope and the same method. A params list also declares the first strings of
     nested arrays that begin its items, a private list all its strings. external: (file, name) of locals that others declare."""
-    scoped = structure.enclosed(p.sig, ["lbrace"]).select("file", F.col("s").alias("key"), F.col("parent").alias("scope"))
     method = F.sum((F.col("type").isin("ident", "keyword") & (F.col("v") == "method")).cast("int")).over(Window.partitionBy("file").orderBy("s"))
-    keys = p.sig.withColumn("method", method).where("type = 'keyword' and v in ('private','params')")
-    keys = keys.select("file", F.col("s").alias("key"), F.col("v").alias("word"), "line", "col", "method", (F.col("s") + 1).alias("array")).join(scoped, ["file", "key"])
+    keys = p.sig.withColumn("method", method).where("type = 'keyword' and v in ('private','params')").select("file", "s", F.col("v").alias("word"), "line", "col", "method")
+    keys = structure.enclosed(p.sig, ["lbrace"], of=keys).select("file", F.col("s").alias("key"), "word", "line", "col", "method", (F.col("s") + 1).alias("array"), F.col("parent").alias("scope"))
     lone = p.sig.where("type = 'local'").select("file", (F.col("s") - 1).alias("key"), "s", F.col("v").alias("name"), "value").join(keys.drop("array"), ["file", "key"])
-    strings = lambda t: t.where("type = 'string' and startswith(value, '_')").select("file", "s", F.col("parent").alias("array"), F.col("v").alias("name"), "value")
+    strings = p.sig.where("type = 'string' and startswith(value, '_')").select("file", "s", F.col("v").alias("name"), "value", "p1t")
+    within = lambda roots: structure.enclosed(p.sig, ["lbracket"], roots, strings).withColumnRenamed("parent", "array").drop("parent_close")
     arrays = p.sig.where("type = 'lbracket'")
-    in_private = strings(structure.enclosed(p.sig, ["lbracket"], arrays.where("p1t = 'keyword' and p1v = 'private'"))).join(keys.where("word = 'private'"), ["file", "array"])
+    in_private = within(arrays.where("p1t = 'keyword' and p1v = 'private'")).join(keys.where("word = 'private'"), ["file", "array"]).drop("p1t")
     # an array that begins an item hands its own items on; so the innermost other one is what a string belongs to
-    in_params = strings(structure.enclosed(p.sig, ["lbracket"], arrays.where("not coalesce(p1t in ('lbracket','comma'), false)")).where("p1t in ('lbracket','comma')")).join(keys.where("word = 'params'"), ["file", "array"])
+    in_params = within(arrays.where("not coalesce(p1t in ('lbracket','comma'), false)")).where("p1t in ('lbracket','comma')").join(keys.where("word = 'params'"), ["file", "array"]).drop("p1t")
     every = lone.unionByName(in_private.drop("array")).unionByName(in_params.drop("array"))
     if external is not None:
         every = every.join(external.select("file", "name"), ["file", "name"], "left_anti")

@@ -1,7 +1,7 @@
 """Brackets, statements, scopes and items of significant tokens.
 
-Well nested files are matched by windows over nesting levels. Only files with a bracket out of
-place go through a fold with a stack, file by file in Arrow batches.
+Brackets are matched by a fold with a stack, file by file in Arrow batches, which sees nothing but
+brackets; everything else is windows.
 """
 
 from __future__ import annotations
@@ -13,34 +13,18 @@ from pyspark.sql import functions as F
 OPENERS, CLOSERS = ["lparen", "lbracket", "lbrace"], ["rparen", "rbracket", "rbrace"]
 
 
-def _brackets(sig: DataFrame) -> DataFrame:
-    b = sig.where(F.col("type").isin(*OPENERS, *CLOSERS)).select("file", "s", "type", "raw", "line", "col", F.col("type").isin(*OPENERS).alias("open"), F.substring("type", 2, 10).alias("kind"))
-    w = Window.partitionBy("file").orderBy("s")
-    level = F.sum(F.when(F.col("open"), 1).otherwise(-1)).over(w)
-    return b.withColumn("level", F.when(F.col("open"), level).otherwise(level + 1))
-
-
-def _paired(sig: DataFrame) -> DataFrame:
-    """Brackets with the next one of their level, and whether their file is well nested."""
-    b = _brackets(sig)
-    w = Window.partitionBy("file", "level").orderBy("s")
-    b = b.withColumns({"close": F.lead("s").over(w), "_kind": F.lead("kind").over(w), "_open": F.lead("open").over(w), "_prev": F.lag("open").over(w)})
-    fine = F.when(F.col("open"), F.col("close").isNotNull() & (F.col("kind") == F.col("_kind")) & ~F.col("_open")).otherwise(F.coalesce(F.col("_prev"), F.lit(False)))
-    return b.withColumn("nested", F.min(fine.cast("int")).over(Window.partitionBy("file")) == 1)
-
-
-def _fold(rows: DataFrame) -> DataFrame:
-    """(file, s, close, fault) of files that aren't well nested: openers with their closers, or a fault (unmatched, unclosed).
-    A closer that doesn't fit the top of the stack leaves it. One file's brackets at a time, once over."""
+def matched(sig: DataFrame) -> DataFrame:
+    """(file, s, close, fault): openers with their closers, or a fault (unmatched, unclosed). A closer that doesn't fit the top
+    of the stack leaves it. One file's brackets at a time, once over; other tokens don't reach Python."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("s")
         stack: list[tuple[int, str]] = []
         out: list[tuple[int, int | None, str | None]] = []
-        for s, opens, kind in zip(*(table[c].to_pylist() for c in ("s", "open", "kind")), strict=True):
-            if opens:
-                stack.append((s, kind))
-            elif stack and stack[-1][1] == kind:
+        for s, kind in zip(table["s"].to_pylist(), table["type"].to_pylist(), strict=True):
+            if kind[0] == "l":
+                stack.append((s, kind[1:]))
+            elif stack and stack[-1][1] == kind[1:]:
                 out.append((stack.pop()[0], s, None))
             else:
                 out.append((s, None, "unmatched"))
@@ -48,19 +32,18 @@ def _fold(rows: DataFrame) -> DataFrame:
         file = pa.array([table["file"][0].as_py()] * len(out), pa.string())
         return pa.table([file, *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string())))], names=["file", "s", "close", "fault"])
 
-    return rows.select("file", "s", "open", "kind").groupBy("file").applyInArrow(run, "file string, s int, close int, fault string")
+    brackets = sig.where(F.col("type").isin(*OPENERS, *CLOSERS)).select("file", "s", "type")
+    return brackets.groupBy("file").applyInArrow(run, "file string, s int, close int, fault string")
 
 
 def bracket_pairs(sig: DataFrame) -> DataFrame:
     """(file, s, close) of every opener with a matching closer, by positions among significant tokens."""
-    paired = _paired(sig)
-    fine = paired.where("nested and open").select("file", "s", "close")
-    return fine.union(_fold(paired.where("not nested")).where("fault is null").select("file", "s", "close"))
+    return matched(sig).where("fault is null").select("file", "s", "close")
 
 
 def bracket_faults(sig: DataFrame) -> DataFrame:
     """(file, s, fault): unmatched closers and unclosed openers."""
-    return _fold(_paired(sig).where("not nested")).where("fault is not null").select("file", "s", "fault")
+    return matched(sig).where("fault is not null").select("file", "s", "fault")
 
 
 def statements(sig: DataFrame) -> DataFrame:
@@ -70,30 +53,54 @@ def statements(sig: DataFrame) -> DataFrame:
     return out.withColumn("at", F.row_number().over(Window.partitionBy("file", "stmt").orderBy("s")))
 
 
-def enclosed(sig: DataFrame, kinds: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+def _steps(sig: DataFrame, kinds: list[str], only: DataFrame | None) -> DataFrame:
+    """(file, s, _turn, _p): at which brackets the opener around what follows changes, and to which: null at the top. Closers
+    change it before their own token (_turn 0), openers behind it (2)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("s")
+        at, types, chosen = (table[c].to_pylist() for c in ("s", "type", "chosen"))
+        stack: list[int] = []
+        close: dict[int, int] = {}
+        for k, kind in enumerate(types):
+            if kind[0] == "l":
+                stack.append(k)
+            elif stack and types[stack[-1]][1:] == kind[1:]:
+                close[stack.pop()] = k
+        ends = {c: o for o, c in close.items()}
+        around: list[dict | None] = [None]
+        out: list[tuple[int, int, dict | None]] = []
+        for k, s in enumerate(at):
+            if k in close and chosen[k]:
+                around.append({"s": s, "close": at[close[k]]})
+                out.append((s, 2, around[-1]))
+            elif k in ends and chosen[ends[k]]:
+                around.pop()
+                out.append((s, 0, around[-1]))
+        none = {"s": None, "close": None}
+        spot = pa.struct([("s", pa.int32()), ("close", pa.int32())])
+        columns = [pa.array([table["file"][0].as_py()] * len(out), pa.string()), pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] or none for r in out], spot)]
+        return pa.table(columns, names=["file", "s", "_turn", "_p"])
+
+    brackets = sig.where(F.col("type").isin(*kinds, *(f"r{k[1:]}" for k in kinds))).select("file", "s", "type")
+    if only is None:
+        marked = brackets.withColumn("chosen", F.lit(True))
+    else:
+        marked = brackets.join(only.select("file", "s", F.lit(True).alias("chosen")).distinct(), ["file", "s"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    return marked.groupBy("file").applyInArrow(run, "file string, s int, _turn int, _p struct<s:int,close:int>")
+
+
+def enclosed(sig: DataFrame, kinds: list[str] | None = None, only: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
     """Adds parent, the innermost matched opener around a token, and parent_close; null at the top.
-    kinds: the openers that count, all without it; only: of these, the ones at (file, s).
+    kinds: the openers that count, all without it; only: of these, the ones at (file, s); of: the tokens that are wanted, all without it.
 
-    Levels count matched brackets only, so they are well nested; the opener around a token is the
-    last one before it that opened the token's level. That is one window, whatever the nesting.
+    The opener around a token is what the last bracket before it left: one window, whatever the nesting.
     """
-    of = kinds or OPENERS
-    counted = sig.where(F.col("type").isin(*of, *(f"r{k[1:]}" for k in of))) if kinds else sig
-    pairs = bracket_pairs(counted)
-    chosen = sig.where(F.col("type").isin(*of)) if only is None else only
-    steps = pairs.join(chosen.select("file", "s"), ["file", "s"], "left_semi")
-    marks = steps.select("file", "s", F.lit(1).alias("_d"), F.col("close").alias("_c")).unionByName(steps.select("file", F.col("close").alias("s"), F.lit(-1).alias("_d"), F.lit(None).cast("int").alias("_c")))
-    w = Window.partitionBy("file").orderBy("s")
-    t = sig.join(marks, ["file", "s"], "left")
-    t = t.withColumn("_run", F.coalesce(F.sum("_d").over(w), F.lit(0)))
-    t = t.withColumn("_out", F.when(F.col("_d") == 1, F.col("_run") - 1).otherwise(F.col("_run")))
-    opened = F.struct(F.col("s").alias("s"), F.col("_c").alias("close"))
-    # a row for each token at the level around it, and one for each opener at the level within it
-    both = t.withColumn("_at", F.explode(F.when(F.col("_d") == 1, F.array(F.struct(F.col("_out").alias("l"), F.lit(False).alias("o")), F.struct((F.col("_out") + 1).alias("l"), F.lit(True).alias("o")))).otherwise(F.array(F.struct(F.col("_out").alias("l"), F.lit(False).alias("o"))))))
-    around = Window.partitionBy("file", "_at.l").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    placed = both.withColumn("_p", F.last(F.when(F.col("_at.o"), opened), ignorenulls=True).over(around)).where("not _at.o")
-    placed = placed.withColumn("_p", F.when(F.col("_out") > 0, F.col("_p")))
-    return placed.withColumns({"parent": F.col("_p.s"), "parent_close": F.col("_p.close")}).drop("_d", "_c", "_run", "_out", "_at", "_p")
+    wanted = (sig if of is None else of).withColumn("_turn", F.lit(1))
+    rows = wanted.unionByName(_steps(sig, kinds or OPENERS, only), allowMissingColumns=True)
+    so_far = Window.partitionBy("file").orderBy("s", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_p", F.last("_p", ignorenulls=True).over(so_far)).where("_turn = 1")
+    return placed.withColumns({"parent": F.col("_p.s"), "parent_close": F.col("_p.close")}).drop("_turn", "_p")
 
 
 def items(sig: DataFrame) -> DataFrame:
