@@ -65,6 +65,8 @@ def lint(
     checks = [*plain, *typed, *(STYLE if style else [])]
     found = _united(of["sqf"], [*checks, preprocess.directive_rules, preprocess.include_rules, flow.flow_rules])
     found = found.unionByName(_united(of["config"], config_rules.CONFIG_RULES, 200)).unionByName(_embedded(of["config"], [*plain, *typed])).unionByName(_united(of["mission"], config_rules.MISSION_RULES, 300))
+    included = preprocess.include_graph(Project(sources, registry)).select(F.col("dst").alias("file"), F.lit("W209").alias("code")).distinct()
+    found = found.join(included, ["file", "code"], "left_anti")  # who includes a file may use its locals
     levels = F.create_map(*[F.lit(x) for code, (level, _) in CATALOG.items() for x in (code, level)])
     found = found.withColumn("severity", levels[F.col("code")]).select(*DIAGNOSTIC_COLUMNS)
     if plugins:

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import structure
+from ..session import kept
+from . import cfg_functions, lexer, structure, symbols
 from .cfg_functions import JOINT
+from .config_rules import mission_addons
 from .rules import Project
 
 # Archive endings, headers that name a prefix in order of preference, header endings.
@@ -85,6 +87,46 @@ def patches(files: DataFrame) -> DataFrame:
     return names.join(last, "addon", "left").select("addon", F.lower(whole).alias("name")).distinct()
 
 
+def library_folders(text: DataFrame) -> DataFrame:
+    """(path) of the libraries that a launcher's VDF texts list, under path or, as old ones have it, under a number; escapes are undone."""
+    pair = r'"(?:path|\d+)"\s+"((?:[^"\\]|\\.)*)"'
+    found = text.select(F.explode(F.regexp_extract_all("text", F.lit(pair), 1)).alias("p"))
+    return found.select(F.regexp_replace("p", r'\\(["\\])', "$1").alias("path")).where(F.col("path").rlike(r"[/\\]")).distinct()
+
+
+def required_addons(sources: DataFrame) -> DataFrame:
+    """(name) of the addons that any mission file of a corpus, however deep, lists."""
+    return mission_addons(sources.where(F.lower("file").endswith(".sqm"))).select(F.lower("addon").alias("name")).distinct()
+
+
+def extract(files: DataFrame, registry: DataFrame) -> dict[str, DataFrame]:
+    """What unpacked addons declare, from one reading of their files (mod, addon, file, text): functions (addon, name), signatures
+    (name, pos, types), macros (name) and patches (addon, name)."""
+    low = F.lower("file")
+    configs = Project(files.where(low.endswith("config.cpp") | low.endswith(".hpp")).select("file", "text"), registry, True)
+    of = files.select("addon", "file").distinct()
+    named = kept(named_functions(files), "named")
+    declared = cfg_functions.functions(configs).where("kind = 'function'").join(of, "file").select("addon", "name")
+    scripts = Project(files.where(low.endswith(".sqf")).select("file", "text"), registry, True)
+    signatures = parameter_types(scripts).join(named.select("file", "name"), "file").select("name", "pos", "types")
+    macros = symbols.macros(lexer.tokens(files.where(F.col("file").rlike(HEADERS)).select("file", "text"))).select(F.col("v").alias("name")).distinct()
+    return {"functions": named.select("addon", "name").union(declared).distinct(), "signatures": signatures.dropDuplicates(["name", "pos"]), "macros": macros, "patches": patches(files)}
+
+
+def update(files: DataFrame, registry: DataFrame, folder: str) -> DataFrame:
+    """Writes what addons declare as caches below a folder, with names and their core aliases, and returns (what, n) of what is there. A cache is replaced as a whole."""
+    found = extract(files, registry)
+    names = symbols.core_aliases(found["functions"].select("name"))
+    for what, rows in {**found, "names": names}.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{what}")
+    spark = files.sparkSession
+    out = None
+    for what in [*found, "names"]:
+        part = spark.read.parquet(f"{folder}/{what}").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def stems(name: Column, joint: str = "_") -> Column:
     """A name and all that stands before one of its joints, longest last."""
     parts = F.split(name, joint)

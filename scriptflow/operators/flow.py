@@ -42,6 +42,8 @@ class Node:
     head: list[Token]
     blocks: list[list[Node]] = field(default_factory=list)
     otherwise: bool = False  # an if has an else, a switch a default
+    end: Token | None = None
+    bare: bool = False  # no semicolon follows
 
     @property
     def start(self) -> Token:
@@ -71,6 +73,7 @@ class Parser:
                 i += 1
                 continue
             node, i = self.statement(i, end)
+            node.end, node.bare = self.tokens[i - 1], i < end and self.tokens[i].type != "semicolon"
             out.append(node)
         return out
 
@@ -162,6 +165,16 @@ def unreachable(block: list[Node]) -> Iterator[tuple[int, int, str, str]]:
         dead |= ends(node)
 
 
+def unended(block: list[Node]) -> Iterator[tuple[int, int, str, str]]:
+    """What begins on the line on which a structured statement's block ends, without a semicolon between them."""
+    for node, after in zip(block, block[1:], strict=False):
+        if node.kind != "plain" and node.bare and node.end.type == "rbrace" and after.start.line == node.end.line and after.start.low not in ("else", "catch", "then"):
+            yield after.start.line, after.start.col, "E008", "missing semicolon after code block"
+    for node in block:
+        for inner in node.blocks:
+            yield from unended(inner)
+
+
 class Locals:
     """W101: locals that are read where they may not be defined."""
 
@@ -240,7 +253,7 @@ def flow_rules(p: Project) -> DataFrame:
         tree = Parser(tokens).block(0, len(tokens))
         walk = Locals()
         walk.block(tree, set(), inner=False)
-        found = [*unreachable(tree), *((line, col, "W101", f"possible undefined variable: {name}") for (line, col), name in sorted(walk.found.items()))]
+        found = [*unreachable(tree), *unended(tree), *((line, col, "W101", f"possible undefined variable: {name}") for (line, col), name in sorted(walk.found.items()))]
         return pd.DataFrame([(rows["file"].iloc[0], line, col, code, text, k) for k, (line, col, code, text) in enumerate(found)], columns=["file", "line", "column", "code", "message", "seq"])
 
     return p.tokens.groupBy("file").applyInPandas(run, "file string, line int, `column` int, code string, message string, seq int")

@@ -43,8 +43,10 @@ def token_type(raw: Column, col: Column) -> Column:
 
 
 def lexemes(sources: DataFrame) -> DataFrame:
-    """(file, n, raw, off, line, col) of every lexeme of (file, text), blanks included."""
-    parts = sources.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(LEXEME), 1)).alias("n", "raw"))
+    """(file, n, raw, off, line, col) of every lexeme of (file, text), blanks included. Texts are dealt out by file before
+    they are cut, so that all windows by file find their lexemes where they are."""
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = sources.select("file", "text").repartition(n, "file").select("file", F.posexplode(F.regexp_extract_all("text", F.lit(LEXEME), 1)).alias("n", "raw"))
     before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     size, breaks = F.length("raw"), F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))
     placed = parts.withColumn("off", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))

@@ -210,6 +210,21 @@ def include_graph(p: Project) -> DataFrame:
     return edges.select(F.col("file").alias("src"), path.alias("dst")).join(p.sources.select(F.col("file").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def macro_locals(p: Project) -> DataFrame:
+    """(file, name) of locals that macros of a file, or of what it includes over any steps, may introduce: locals and quoted
+    locals in macro bodies, those in lists of params and in parameter macros, and what the engine and method wrappers provide."""
+    joined = F.regexp_replace("text", r"\\[ \t]*(\r?\n)", " ")
+    bodies = F.array_join(F.regexp_extract_all(joined, F.lit(r"(?m)^\s*#\s*define\s+[^\s(]+(?:\([^)]*\))?[ \t]*(.*)$"), 1), "\n")
+    lists = F.array_join(F.regexp_extract_all("text", F.lit(r"(?is)\bparams\s*\[([^\]]*)\]"), 1), "\n")
+    each = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), 1)
+    quoted = r'"(_[A-Za-z0-9_]+)"'
+    wrapped = F.when(F.col("text").rlike(r"\bMETHOD\s*\("), F.array(F.lit("_thisclass"), F.lit("_thisobject"), F.lit("_oop_logscope"))).otherwise(F.array().cast("array<string>"))
+    names = F.concat(each(bodies, r"(?<![A-Za-z0-9_])(_[A-Za-z][A-Za-z0-9_]*)\b"), each(bodies, quoted), each(lists, quoted), each(F.col("text"), r'\bP_[A-Za-z0-9_]+\s*\(\s*"(_[A-Za-z0-9_]+)"'), wrapped, F.array(F.lit("__file__"), F.lit("__line__")))
+    own = p.sources.where("text is not null").select("file", F.explode(names).alias("name")).select("file", F.lower("name").alias("name")).distinct()
+    reached = includes.closure(include_graph(p)).select(F.col("src").alias("into"), F.col("dst").alias("file"))
+    return own.unionByName(own.join(reached, "file").select(F.col("into").alias("file"), "name")).distinct()
+
+
 def line_map(combined: DataFrame) -> DataFrame:
     """(file, out_line, origin_file, origin_line) of preprocessed files."""
     return combined.where("origins is not null").select("file", F.posexplode("origins").alias("n", "o")).select("file", (F.col("n") + 1).alias("out_line"), F.col("o.file").alias("origin_file"), F.col("o.line").alias("origin_line"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import addons, cfg_functions, diagnostics, postfilters, rules, sinks, types
+from ..operators import addons, cfg_functions, diagnostics, expressions, postfilters, preprocess, rules, sinks, types
 from ..operators.rules import CATALOG, Project
 from ..sources import project_config
 from ..streaming import watch
@@ -381,6 +381,37 @@ def reuse_counts(spark, sf_dir):
     return addons.reuse_counts(watch.snapshot_diff(old, new), new)
 
 
+@query("mission_requirements", "SELECT DISTINCT lower('a_' || o_orderstatus || CAST(o_orderkey % 400 AS VARCHAR)) AS name FROM orders")
+def mission_requirements(spark, sf_dir):
+    lists = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(F.concat(F.lit("A_"), "o_orderstatus", (F.col("o_orderkey") % 400).cast("string"))), '","').alias("n"))
+    return addons.required_addons(lists.select(F.concat(F.lit("deep/m"), F.col("o_custkey").cast("string"), F.lit("/mission.SQM")).alias("file"), F.concat(F.lit('addOns[] = {"'), "n", F.lit('"};')).alias("text")))
+
+
+@query("library_folders", "SELECT DISTINCT 'D:\\lib' || CAST(s_nationkey AS VARCHAR) || '\\x' AS path FROM supplier UNION SELECT DISTINCT '/home/u' || CAST(s_suppkey % 7 AS VARCHAR) FROM supplier")
+def library_folders(spark, sf_dir):
+    text = _table(spark, sf_dir, "supplier").select(F.concat(F.lit('"0" { "path"\t\t"D:\\\\lib'), F.col("s_nationkey").cast("string"), F.lit('\\\\x" "label" "" "totalsize" "12" } "1" "/home/u'), (F.col("s_suppkey") % 7).cast("string"), F.lit('" "2" "33"')).alias("text"))
+    return addons.library_folders(text)
+
+
+@query("macro_locals", """WITH n AS (SELECT s_suppkey AS k, 'd/s' || CAST(s_suppkey AS VARCHAR) || '.sqf' AS file, CAST(s_suppkey AS VARCHAR) AS t FROM supplier), own AS (SELECT file, k, unnest(list_concat(['__file__', '__line__', '_loc' || t, '_q' || t, '_p' || t], CASE WHEN k % 3 = 0 THEN ['_thisclass', '_thisobject', '_oop_logscope'] ELSE [] END)) AS name FROM n)
+SELECT DISTINCT a.file, o.name FROM n a JOIN n b ON b.k >= a.k AND b.k // 10 = a.k // 10 JOIN own o ON o.k = b.k""")
+def macro_locals(spark, sf_dir):
+    """Ten files in a row include the next one each, so the first sees the names of all."""
+    k = F.col("s_suppkey").cast("string")
+    follows = F.when(F.col("s_suppkey") % 10 != 9, F.concat(F.lit('#include "s'), (F.col("s_suppkey") + 1).cast("string"), F.lit('.sqf"\n'))).otherwise("")
+    text = F.concat(follows, F.lit("#define M(x) private _Loc"), k, F.lit(' = x; \\\n f("_q'), k, F.lit('")\nparams ["_p'), k, F.lit('", _no];\n_not = 1;\n'), F.when(F.col("s_suppkey") % 3 == 0, "METHOD (x)").otherwise(""))
+    src = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("d/s"), k, F.lit(".sqf")).alias("file"), text.alias("text"))
+    return preprocess.macro_locals(Project(src, registry(spark)))
+
+
+@query("expression_nodes", """WITH p AS (SELECT 'e' || CAST(p_size AS VARCHAR) AS file, p_partkey AS k, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS r FROM part), n(node, parent, kind, value) AS (VALUES (0, NULL, 'binary', '='), (1, 0, 'name', '_a'), (2, 0, 'binary', '+'), (3, 2, 'literal', 'K'), (4, 2, 'binary', '*'), (5, 4, 'command', 'count'), (6, 5, 'array', ''), (7, 6, 'literal', '1'), (8, 6, 'group', ''), (9, 8, 'name', 'x'), (10, 4, 'code', ''), (11, 10, 'call', 'call'), (12, 11, 'name', 'f'))
+SELECT file, CAST(r * 23 AS BIGINT) AS stmt, CAST(node AS BIGINT) AS node, CAST(parent AS BIGINT) AS parent, kind, CASE value WHEN 'K' THEN CAST(k AS VARCHAR) ELSE value END AS value FROM p, n""")
+def expression_nodes(spark, sf_dir):
+    """A statement for each part, and behind it one that is no whole expression."""
+    src = _made(spark, sf_dir, "part", [], "concat('e', p_size)", "concat('_a = ', p_partkey, ' + count [1, (x)] * { call f }; _b = 1 +;')", "p_partkey")
+    return expressions.nodes(Project(src, registry(spark)))
+
+
 # Types
 
 _COMMANDS = [("publicvariable", 1, ["String"], "String", None), ("str", 1, ["Array", "String", "Code"], "Array, String or Code", "String"), ("hint", 1, ["String", "Structured Text"], "String or Structured Text", None), ("count", 1, ["Array"], "Array", "Number"), ("setpos", 2, ["Array"], "Array", None), ("call3", 1, ["Code"], "Code", "Code")]
