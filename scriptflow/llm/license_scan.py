@@ -16,8 +16,10 @@ first, then the smallest path). A file without its own licence inherits that of
 ancestor directory which has one, by joins on paths.
 
 All of it is DataFrame expressions. Files without text, null texts and null paths have no own
-licence; a null path inherits nothing. Repeated rows give repeated results. The templates are a
-table of fixed size and the only thing that is broadcast.
+licence; a null path inherits nothing. Repeated rows give repeated results. A very long text is
+read whole, like any other. Other columns may have any names. An empty table gives an empty result.
+The templates are a table of fixed size and the only thing that is broadcast; files that speak of a
+licence are written once, as several steps read them.
 """
 
 from __future__ import annotations
@@ -47,7 +49,11 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
+    "BSD-3-Clause#style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
 }
+# Licences that identifiers name in headers.
+IDENTIFIERS = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+TEMPLATES |= {f"{name}#spdx": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS}
 #: Lines with one of these are headers.
 TRIGGER = "(?i)licen[sc]e|copyright|all rights reserved|public domain"
 #: Names of licence files.
@@ -62,7 +68,7 @@ WORD = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
 
 
 def template_rows(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(licence, word, share of the unit vector), idf by word, and the idf of words in no template."""
+    """(licence, word, share of the unit vector), idf by word, and the idf of words in no template. What follows # tells the templates of one licence apart."""
     bags = {name: Counter(re.findall(WORD, text.lower())) for name, text in templates.items()}
     df = Counter(w for bag in bags.values() for w in bag)
     idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
@@ -137,6 +143,7 @@ def scan(files: DataFrame, keys: list[str], path: str = "path", text: str = "tex
     base = base.withColumn("_id", F.xxhash64("path", "_text"))
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     speaking = base.where(F.col("_text").rlike(TRIGGER) | (named & (F.length("_text") > 0))).select("_id", "_text", named.alias("_named"), F.size(words_of(F.col("_text"))).alias("_n")).dropDuplicates(["_id"])
+    speaking = Scratch(spark, "license").write(speaking, "speaking")
     lines = speaking.select("_id", "_n", "_named", F.posexplode(F.split("_text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(TRIGGER))
     whole = speaking.where("_named").select("_id", "_n", "_named", F.lit(-1).alias("line"), F.col("_text").alias("unit"))
     units = lines.unionByName(whole).withColumn("words", words_of(F.col("unit")))
@@ -149,7 +156,7 @@ def scan(files: DataFrame, keys: list[str], path: str = "path", text: str = "tex
     best = matches.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "line", "license")).alias("b"), F.collect_set("line").alias("hit"))
     counted = units.groupBy("_id").agg(F.first("_n").alias("_n"), F.max("_named").alias("_named"), F.collect_list(F.when(F.col("line") >= 0, F.struct("line", F.size("words").alias("n")))).alias("sizes"))
     held = F.aggregate(F.filter("sizes", lambda x: F.array_contains(F.col("hit"), x["line"])), F.lit(0), lambda a, x: a + x["n"])
-    own = best.join(counted, "_id").select("_id", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.when(F.col("_named"), F.lit(1.0)).otherwise(held / F.greatest(F.col("_n"), F.lit(1))).alias("_share"))
+    own = best.join(counted, "_id").select("_id", F.split_part("b.license", F.lit("#"), F.lit(1)).alias("own_license"), (-F.col("b.s")).alias("own_score"), F.when(F.col("_named"), F.lit(1.0)).otherwise(held / F.greatest(F.col("_n"), F.lit(1))).alias("_share"))
     whole_texts = _whole(speaking, threshold, least_words).join(speaking.select("_id", F.col("_named").alias("_file"), F.col("_n").alias("_words")), "_id")
     longer = F.col("_text_license").isNotNull()
     own = own.join(whole_texts, "_id", "full").select("_id", F.coalesce("_text_license", "own_license").alias("own_license"), F.coalesce("_text_score", "own_score").alias("own_score"), F.when(longer, F.when(F.col("_file"), F.lit(1.0)).otherwise(F.col("_text_size") / F.greatest("_words", F.lit(1)))).otherwise(F.col("_share")).alias("_share"))

@@ -68,7 +68,7 @@ bag AS (SELECT doc_id, line, word, count(*) AS n FROM wd GROUP BY ALL),
 wt AS (SELECT bag.*, n * coalesce(idf, {rare!r}::DOUBLE) AS w FROM bag LEFT JOIN kn USING (word)),
 nm AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM wt GROUP BY ALL),
 ms AS (SELECT * FROM (SELECT doc_id, line, license, round(sum(w * share) / any_value(norm), 6) AS score FROM wt JOIN vec USING (word) JOIN nm USING (doc_id, line) GROUP BY doc_id, line, license) WHERE score >= 0.6),
-best AS (SELECT doc_id, arg_min(license, (-score, line, license)) AS own_license, max(score) AS own_score FROM ms GROUP BY doc_id),
+best AS (SELECT doc_id, split_part(arg_min(license, (-score, line, license)), '#', 1) AS own_license, max(score) AS own_score FROM ms GROUP BY doc_id),
 own AS (SELECT b.*, (SELECT sum(len(regexp_extract_all(lower(unit), '{word}'))) FROM ul WHERE ul.doc_id = b.doc_id AND line IN (SELECT line FROM ms WHERE ms.doc_id = b.doc_id)) / greatest(len(regexp_extract_all(lower(f.text), '{word}')), 1) AS share FROM best b JOIN f USING (doc_id)),
 p AS (SELECT f.doc_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') AS dir, own_license, own_score, share FROM f LEFT JOIN own USING (doc_id)),
 dl AS (SELECT dir, arg_min(own_license, (-share, path)) AS license FROM p WHERE share >= 0.2 GROUP BY dir),
