@@ -15,12 +15,14 @@ def ranked(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> D
     """
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     staged = scratch.write(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), name)
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    offset, offsets = 0, {}
-    for row in sorted(staged.groupBy(part.alias("part")).count().collect()):
-        offsets[row["part"]], offset = offset, offset + row["count"]
-    base = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[part] if offsets else F.lit(0).cast("long")
-    return staged.withColumn("rank", (base + within).cast("long")).drop("_at")
+    part, within = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    offset, offsets = 0, []
+    for row in sorted(staged.groupBy(part).count().collect()):
+        offsets.append((row["_part"], offset))
+        offset += row["count"]
+    bases = df.sparkSession.createDataFrame(offsets, "_part long, _base long")  # a row a partition
+    placed = staged.withColumn("_part", part).join(F.broadcast(bases), "_part")
+    return placed.withColumn("rank", (F.col("_base") + within).cast("long")).drop("_at", "_part", "_base")
 
 
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:

@@ -5,8 +5,12 @@ sum of a feature's trees is a lookup table over its bins; then pairs of features
 most of what is left get two-dimensional tables in the same way. Scoring adds table entries.
 
 Features are shapes of the whole text, counted on its bytes and words; no identifier, language
-or source goes in. Null texts count as empty and get a score like any other text. Labels come
-from at most `most` rows, those with the smallest hash of their id: that is the one bound.
+or source goes in. Null texts count as empty and get a score like any other text; very long ones are
+a slice of their own. Labels come from at most `most` rows, those with the smallest hash of their id:
+that is the one bound. Repeated rows train and are scored each; rows with a null id are scored and
+don't train; an id with both labels counts for both. Scores that tie are equal. The features' column
+is named x, and score beside it, so those two names are taken; others may clash. Without labelled
+rows every text scores 0.5, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -183,6 +187,6 @@ def score(features_of: DataFrame, model: Gam) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(x: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(np.array(x.tolist(), float).reshape(len(x), len(FEATURES))))
+        return pd.Series(sent.value.score(np.concatenate(x.to_numpy()).reshape(len(x), len(FEATURES)) if len(x) else np.empty((0, len(FEATURES)))))
 
     return features_of.withColumn("score", scored("x")).drop("x")

@@ -11,7 +11,8 @@ merges across such a cut. Runs of space marks have pieces of one shared, lowest
 merged last and from the left, which `_space_run` does.
 
 Null texts count as empty. An empty text has the end id alone. Texts of any length are handled
-whole; repeated rows give repeated results; other columns are passed through by `encode`.
+whole; repeated rows give repeated results; other columns are passed through by `encode`, whatever
+their names. There are no ties: an encoding is unique. An empty table gives an empty result.
 """
 
 from __future__ import annotations
