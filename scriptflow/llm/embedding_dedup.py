@@ -11,7 +11,8 @@ Only vectors of one label and one length are compared. Equal vectors are one vec
 so exact copies cost nothing but their rows. A leaf or group too large for one task is cut into chunks of
 which every two meet in one task. Vectors that are null, zero or hold null or non-finite
 components, and those without a label, link with nothing. Repeated rows are separate vectors
-that link with each other. Recall is measured against brute force in the tests.
+that link with each other. A cosine of just the threshold links. Other columns may have any names; an
+empty table gives an empty result. Recall is measured against brute force in the tests.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document is the set of its distinct n-word shingles (hashed to 64 bits). Similar sets are
-partitioned into groups: sets that share one of three minimum hashes are compared with the
-smallest set id among them, and those that link form a group. Each group keeps the union of its
+partitioned into groups: sets that share one of three minimum hashes are compared with the one
+among them whose tokens are the most frequent (ties: the largest id), and those that link form a group. Each group keeps the union of its
 members' tokens as a bitmap. A set can only link with a member of another group if it shares one
 of its first tokens (in an order that puts frequent tokens last) with it, and if the bitmap
 leaves room for enough common tokens; only such groups are opened, and their members compared.
@@ -13,7 +13,8 @@ cost nothing but their own rows; sets that are already connected are not compare
 
 Null and wordless texts have an empty set and link with nothing. Texts with fewer words than n
 have their whole sequence as the one shingle. Repeated rows are separate documents with equal
-sets. An empty table gives an empty result. Other columns don't matter.
+sets; one with a null key is in the group of its set, whose smallest key is a real one if there is any.
+A very long text is a slice of its own. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
