@@ -301,6 +301,16 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""
     assert {rows[k][0]: v for k, v in out.items()} == {p: want for p, _, want in rows}
 
 
+def test_toxicity_trains_on_a_bounded_sample_of_repeated_ids(spark):
+    rows = [(k % 3, f"text {k}") for k in range(60)] + [(None, "x"), (7, None)]
+    docs = helpers.documents(spark, rows)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0), (7, 1), (9, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, F.lit(True), "doc_id", "toxic", 10)
+    assert sorted(r["y"] for r in got.collect()) == [0, 0, 1, 1, 1] and got.where("_text = ''").count() == 1
+    assert toxicity.sample(docs, labels, F.lit(True), "doc_id", "toxic", 2).count() <= 2
+    assert toxicity.sample(docs.limit(0), labels, F.lit(True), "doc_id", "toxic", 2).count() == 0
+
+
 @pytest.fixture(scope="module")
 def codec():
     with open(queries.piece_model(), "rb") as f:
