@@ -169,3 +169,56 @@ def test_reports_and_fixes(spark, tmp_path):
     assert list(json.loads(times.report())) == ["lint_ms", "token_cache_hit_rate", "total_ms"]
     assert [r["file"] for r in addons.ordered(spark.createDataFrame([("B",), ("a",), ("b",)], "file string")).collect()] == ["a", "B", "b"]
     assert diagnostics.reported(d, 1).count() == 1
+
+
+def test_expressions_are_read_by_precedence(spark, registry):
+    from scriptflow.operators import expressions
+
+    def shown(tree):
+        inner = " ".join(shown(p) for p in tree.parts)
+        return f"({tree.kind[0]}{':' + tree.value if tree.value else ''}{' ' + inner if inner else ''})"
+
+    texts = {
+        "a": ("_a = 1 + 2 * 3", "(b:= (n:_a) (b:+ (l:1) (b:* (l:2) (l:3))))"), "b": ("(1 + 2) * -x + -3", "(b:+ (b:* (g (b:+ (l:1) (l:2))) (u:- (n:x))) (l:-3))"), "c": ("[] call f", "(c:call (a) (n:f))"), "d": ("x select 0 == 1", None),
+        "e": ("count [1, [2]]", "(c:count (a (l:1) (a (l:2))))"), "f": ("!a && b || c", "(b:|| (b:&& (u:! (n:a)) (n:b)) (n:c))"), "g": ("{ a = 1; b } forEach c", "(c:forEach (c (b:= (n:a) (l:1)) (n:b)) (n:c))"), "h": ("(1", None), "i": ("call compile x", None), "j": ("", None),
+    }
+    p = Project(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "file string, text string"), registry)
+    tokens = {}
+    for r in p.sig.orderBy("file", "s").collect():
+        tokens.setdefault(r["file"], []).append((r["type"], r["value"]))
+    got = {k: (lambda t: t and shown(t))(expressions.parse(tokens.get(k, []))) for k in texts}
+    assert got == {k: want for k, (_, want) in texts.items()}
+    rows = expressions.nodes(p).where("file = 'a'").orderBy("node").collect()
+    assert [(r["parent"], r["kind"], r["value"]) for r in rows] == [(None, "binary", "="), (0, "name", "_a"), (0, "binary", "+"), (2, "literal", "1"), (2, "binary", "*"), (4, "literal", "2"), (4, "literal", "3")]
+
+
+def test_watching_sees_changes_and_deletions(spark, tmp_path):
+    from scriptflow.streaming import watch
+
+    snaps = [[("a", "x = 1; ", 1), ("b", "fine", 1)], [("a", "x = 1; ", 1), ("b", "fine", 1)], [("b", "bad \n", 2), ("c", "new ", 1)]]
+    seen = []
+
+    def lint(sources, index):
+        seen.append(sorted(r["name"] for r in index.collect()))
+        found = rules.trailing_blanks(Project(sources, rules.empty_registry(spark)))
+        return found.withColumns({"severity": F.lit("warning"), "pass_no": F.lit(0)})
+
+    for k, rows in enumerate(snaps):
+        spark.createDataFrame([(k, f, t, m, len(t)) for f, t, m in rows], "snap bigint, file string, text string, mtime_ns bigint, size bigint").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        watch.watch_stream(spark, f"file://{tmp_path}/in", lint, lambda new: new.select(F.col("file").alias("name")), f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
+    out = sorted((r["batch"], r["file"], r["deleted"], len(r["diagnostics"])) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert out == [(0, "a", False, 1), (0, "b", False, 0), (2, "a", True, 0), (2, "b", False, 1), (2, "c", False, 1)]
+    assert seen == [["a", "b"], ["b", "c"]]
+
+
+def test_addons_are_extracted_and_kept(spark, registry, tmp_path):
+    rows = [
+        ("m", "m/addons/core", "m/addons/core/fnc_go.sqf", 'params [["_a", 0, [0]], "_b"];'), ("m", "m/addons/core", "m/addons/core/script_mod.hpp", "#define PREFIX pre\n#define COMPONENT c\n"), ("m", "m/addons/core", "m/addons/core/f/fn_make.sqf", None),
+        ("m", "m/addons/core", "m/addons/core/config.cpp", 'class CfgPatches { class ADDON { x = 1; }; };\nclass CfgFunctions { class T { class C { class run { file = "x"; }; }; }; };'),
+    ]
+    files_ = spark.createDataFrame(rows, "mod string, addon string, file string, text string")
+    counts = {r["what"]: r["n"] for r in addons.update(files_, registry, f"file://{tmp_path}/caches").collect()}
+    assert counts == {"functions": 3, "signatures": 2, "macros": 2, "patches": 1, "names": 3}
+    assert {r["name"] for r in spark.read.parquet(f"{tmp_path}/caches/names").collect()} == {"core_fnc_go", "pre_fnc_make", "t_fnc_run"}
+    assert {(r["name"], r["pos"], tuple(r["types"] or ())) for r in spark.read.parquet(f"{tmp_path}/caches/signatures").collect()} == {("core_fnc_go", 0, ("Number",)), ("core_fnc_go", 1, ())}
+    assert addons.update(files_, registry, f"file://{tmp_path}/caches").count() == 5
