@@ -279,7 +279,7 @@ def _among(h: np.ndarray, those: np.ndarray) -> np.ndarray:
     return found
 
 
-def _remove(slices: DataFrame, told: DataFrame, parts: int, width: int, gram: int, kept: bool, spans: bool) -> DataFrame:
+def _remove(slices: DataFrame, told: DataFrame, parts: int, width: int, gram: int, kept: bool, spans: bool, whole: bool) -> DataFrame:
     """The columns of rows with n_words, n_removed and kept_sha256 (and kept, spans). told: the wanted (sid, m) and the answers (sid, p, twice)."""
     row = slices.schema["rows"].dataType.elementType
     schema = T.StructType([*row.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -317,7 +317,7 @@ def _remove(slices: DataFrame, told: DataFrame, parts: int, width: int, gram: in
                 ranges = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
             n, words = len(words), [words[k] for k in np.flatnonzero(~gone)] if removed else words
             left = b" ".join(words)
-            out.append([n, removed, hashlib.sha256(left).hexdigest(), *([left.decode()] if kept else []), *([ranges] if spans else [])])
+            out.append([n, removed, hashlib.sha256(left).hexdigest(), *([text.as_py() if whole and not removed else left.decode()] if kept else []), *([ranges] if spans else [])])
         rows = own["rows"].combine_chunks().flatten()
         return pa.Table.from_arrays([*rows.flatten(), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=schema.names)
 
@@ -334,10 +334,10 @@ def _among(h: np.ndarray, those: np.ndarray) -> np.ndarray:
     return found
 
 
-def deduplicate(docs: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, kept: bool = False, spans: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, kept: bool = False, spans: bool = False, whole: bool = False) -> DataFrame:
     """Returns columns of docs with n_words, n_removed and kept_sha256; with kept also the kept
-    words joined by one space, with spans the removed ranges of words. Slices go into the index in
-    so many batches, as arriving data would; the result doesn't depend on their number."""
+    words joined by one space (with whole, a text that loses nothing comes back as it is, null too), with
+    spans the removed ranges of words. Slices go into the index in so many batches, as arriving data would; the result doesn't depend on their number."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -360,4 +360,4 @@ def deduplicate(docs: DataFrame, columns: list[str], key: str = "doc_id", text:
     else:
         answers = scratch.write(_answers_at_once(asked), "answers")
     scratch.drop("asked", "merged")
-    return _remove(slices, wanted.unionByName(answers, allowMissingColumns=True), parts, width, gram, kept, spans)
+    return _remove(slices, wanted.unionByName(answers, allowMissingColumns=True), parts, width, gram, kept, spans, whole)
