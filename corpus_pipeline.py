@@ -40,10 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, from repeated rows and from rows with null ids as from any others; a text
     that loses some becomes its kept words, others stay as they are, null and empty ones too."""
-    cut = substring_dedup.deduplicate(docs.withColumn("_whole", F.col("text")), ["doc_id", "_whole", "lang", "source", "n_chars"], kept=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_whole"))
+    cut = substring_dedup.deduplicate(docs, ["doc_id", "lang", "source", "n_chars"], kept=True, whole=True)
     size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return cut.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
