@@ -13,8 +13,8 @@ What was found is scored again in double precision on the original vectors.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
 without an id. Equal vectors are one node with its smallest k + 1 ids, so copies and ties between
-them cost nothing; other ties go to the smaller id. Repeated rows of one id count as that id once in
-a result. Vectors of different lengths are searched apart. Other columns may have any names. An empty
+them cost nothing; other ties go to the smaller id. Repeated rows are separate candidates, so an id may
+come up once for each of its rows. Vectors of different lengths are searched apart. Other columns may have any names. An empty
 table gives an empty result. Recall is measured against brute force in the tests.
 """
 
