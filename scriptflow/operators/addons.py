@@ -160,9 +160,19 @@ def matching_files(declared: DataFrame, files: DataFrame) -> DataFrame:
 def resolve_mods(wanted: DataFrame, folders: DataFrame, archives: DataFrame) -> DataFrame:
     """(id, path): a mod by the id that ends its folder, else by an addon of that name: the first path in order of lower case.
     wanted: id, name; folders: path; archives: mod, file."""
-    by_id = wanted.join(folders.select("path", base_name(F.col("path")).alias("id")), "id").select("id", F.lit(0).alias("rank"), "path")
-    by_addon = wanted.select("id", F.lower("name").alias("n")).join(archives.select(F.col("mod").alias("path"), F.lower(tag_of(F.col("file"))).alias("n")), "n").select("id", F.lit(1).alias("rank"), "path")
-    return by_id.unionByName(by_addon).groupBy("id").agg(F.min_by("path", F.struct("rank", F.lower("path"))).alias("path"))
+    by_id = folders.select("path", base_name(F.col("path")).alias("id"))
+    by_addon = archives.select(F.col("mod").alias("path"), F.lower(tag_of(F.col("file"))).alias("n"))
+    # one path for each id and each addon before wanted rows meet them, so that no row meets all mods that hold its addon
+    of_id = wanted.join(_first_path(by_id, "id"), "id").select("id", F.lit(0).alias("rank"), "path")
+    of_addon = wanted.select("id", F.lower("name").alias("n")).join(_first_path(by_addon, "n"), "n").select("id", F.lit(1).alias("rank"), "path")
+    return _first_path(of_id.unionByName(of_addon), "id", "rank")
+
+
+def _first_path(paths: DataFrame, key: str, *before: str) -> DataFrame:
+    """(key, path): each key's first path in order of the columns before, then of lower case; equal ones by their own letters, nulls last."""
+    path = F.col("path")
+    first = F.min(F.struct(*before, path.isNull().alias("none"), F.lower(path).alias("low"), "path"))
+    return paths.groupBy(key).agg(first.alias("f")).select(key, "f.path")
 
 
 def literal_type(kind: Column, v: Column) -> Column:

@@ -222,3 +222,29 @@ def test_addons_are_extracted_and_kept(spark, registry, tmp_path):
     assert {r["name"] for r in spark.read.parquet(f"{tmp_path}/caches/names").collect()} == {"core_fnc_go", "pre_fnc_make", "t_fnc_run"}
     assert {(r["name"], r["pos"], tuple(r["types"] or ())) for r in spark.read.parquet(f"{tmp_path}/caches/signatures").collect()} == {("core_fnc_go", 0, ("Number",)), ("core_fnc_go", 1, ())}
     assert addons.update(files_, registry, f"file://{tmp_path}/caches").count() == 5
+
+
+def most_joined(df):
+    """The rows of a query and the most rows that one of its joins gave."""
+    rows, counts, todo = df.collect(), [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.nodeName()
+        if "Join" in kind and node.metrics().contains("numOutputRows"):
+            counts.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlan" else [node.plan()] if kind.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        todo += inner
+    return rows, max(counts)
+
+
+def test_a_wanted_mod_meets_one_path_of_an_addon(spark):
+    """500 ids want an addon that 400 mods hold: one row each, not 200,000; of equal paths the smaller one, and no path only where there is none."""
+    wanted = spark.range(500).select(F.col("id").cast("string"), F.lit("Addon").alias("name")).union(spark.createDataFrame([("x", "bare"), ("y", "gone"), (None, "bare")], "id string, name string"))
+    folders = spark.createDataFrame([("ws\\B/7",), ("ws/a/7",), ("ws/A/7",), (None,), ("ws/y",)], "path string")
+    held = spark.range(400).select(F.format_string("ws/mod%03d", F.col("id") + 1).alias("mod"), F.when(F.col("id") % 2 == 0, "x/ADDON.pbo").otherwise("x\\addon.EBO").alias("file"))
+    archives = held.union(spark.createDataFrame([("ws/Mod001", "addon.pbo"), (None, "addon.pbo"), (None, "bare.pbo"), ("m", None)], "mod string, file string"))
+    rows, most = most_joined(addons.resolve_mods(wanted, folders, archives))
+    got = {r["id"]: r["path"] for r in rows}
+    assert len(rows) == len(got) == 503
+    assert got == {str(k): "ws/A/7" if k == 7 else "ws/Mod001" for k in range(500)} | {"x": None, "y": "ws/y", None: None}
+    assert most <= 502
