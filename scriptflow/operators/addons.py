@@ -28,6 +28,7 @@ TYPES = {
     "HASHMAP": "HashMap", "NAMESPACE": "Namespace", "GROUP": "Group", "CONTROL": "Control", "DISPLAY": "Display", "LOCATION": "Location", "TASK": "Task", "SCRIPT_HANDLE": "Script", "CODE": "Code",
 } | dict.fromkeys(["ARRAY", "VECTOR_3D", "POSITION", "POSITION_2D", "POSITION_3D", "POSITION_RELATIVE", "POSITION_AGL", "POSITION_ASL", "POSITION_ATL", "POSITION_ASLW", "POSITION_WORLD", "COLOR", "COLOR_RGB", "ARRAY_OF_EDEN_ENTITIES"], "Array")
 NO_TYPES = ["NOTHING", "VOID"]
+SLICES = 64  # tasks at most that share the files of one last part
 #: Metadata of one command.
 METADATA = "name string, version string, game string, deprecated boolean, uncertain boolean, syntaxes array<struct<params:array<struct<name:string,type:string,optional:boolean,order:int>>,returns:array<string>>>"
 
@@ -153,8 +154,11 @@ def select_roots(required: DataFrame, archives: DataFrame, base: DataFrame) -> D
 def matching_files(declared: DataFrame, files: DataFrame) -> DataFrame:
     """(name, file): source files of functions with a declared path: the path's end, or its last part alone. declared: name, path; files: file."""
     last = lambda c: F.lower(base_name(F.col(c)))
-    both = declared.select("name", last("path").alias("b")).join(files.select("file", last("file").alias("b")), "b")
-    return both.select("name", "file").distinct()  # a file whose end is the path has its last part, too
+    names = declared.select("name", last("path").alias("b")).distinct()
+    held = files.select("file").distinct().select("file", last("file").alias("b"), F.pmod(F.xxhash64("file"), F.lit(SLICES)).alias("slice"))
+    # a common last part is dealt out in slices of its files, and its names go to those slices that there are: never more rows than pairs
+    dealt = names.join(held.select("b", "slice").distinct(), "b")
+    return dealt.join(held, ["b", "slice"]).select("name", "file")  # a file has one last part, so each pair comes once
 
 
 def resolve_mods(wanted: DataFrame, folders: DataFrame, archives: DataFrame) -> DataFrame:

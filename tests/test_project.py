@@ -248,3 +248,25 @@ def test_a_wanted_mod_meets_one_path_of_an_addon(spark):
     assert len(rows) == len(got) == 503
     assert got == {str(k): "ws/A/7" if k == 7 else "ws/Mod001" for k in range(500)} | {"x": None, "y": "ws/y", None: None}
     assert most <= 502
+
+
+def test_files_of_a_common_name_are_dealt_out(spark):
+    """3,000 files and 40 functions of one last part: each pair once, in many tasks, and no rows beyond the pairs are moved to find them distinct."""
+    many = spark.range(3000).select(F.format_string("src/%d/Run.SQF", "id").alias("file"))
+    files_ = many.union(many.limit(50)).union(spark.createDataFrame([("a\\only.sqf",), ("nowhere.sqf",), (None,)], "file string"))
+    declared = spark.range(40).select(F.format_string("f%d", "id").alias("name"), F.lit("\\x\\run.sqf").alias("path"))
+    declared = declared.union(declared.limit(9)).union(spark.createDataFrame([("f0", "y/RUN.sqf"), ("f1", "only.SQF"), (None, "only.sqf"), ("g", None), ("h", "none.sqf")], "name string, path string"))
+    found = addons.matching_files(declared, files_)
+    got = [(r["name"], r["file"]) for r in found.collect()]
+    want = {(f"f{k}", f"src/{n}/Run.SQF") for k in range(40) for n in range(3000)} | {("f1", "a\\only.sqf"), (None, "a\\only.sqf")}
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Project" and plan.child().nodeName() == "Join"  # pairs are final where they are joined
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = addons.matching_files(declared, files_).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < len(want) * 0.6
