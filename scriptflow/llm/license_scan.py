@@ -18,8 +18,9 @@ ancestor directory which has one, by joins on paths.
 All of it is DataFrame expressions. Files without text, null texts and null paths have no own
 licence; a null path inherits nothing. Repeated rows give repeated results. A very long text is
 read whole, like any other. Other columns may have any names. An empty table gives an empty result.
-The templates are a table of fixed size and the only thing that is broadcast; files that speak of a
-licence are written once, as several steps read them.
+The templates are a table of fixed size and the only thing that is broadcast by hint. The units of
+files that speak of a licence are dealt out once, and one task does all comparisons of a unit; what they
+found is written once, as several steps read it. So few exchanges keep the driver's plans and threads few.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import license_texts
@@ -65,6 +66,8 @@ BLOCK = (
     r"|(?:^(?![ \t]*+(?://|/\*|#|--|;|%|\*))[ \t\r]*+[^ \t\r\n][^\n]*+(?:\n|\z))++"
 )
 WORD = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
+#: Kinds of units: those compared with notices, and those compared with texts.
+NOTICE, TEXT = 0, 1
 
 
 def template_rows(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
@@ -79,18 +82,18 @@ def template_rows(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[str
     return rows, idf, math.log(1 + len(bags)) + 1
 
 
-def text_rows() -> tuple[list[dict], list[dict], float]:
-    """As template_rows, of whole texts and headers: t tells the texts of one licence apart, word counts are logarithmic."""
+def text_rows() -> tuple[list[tuple[str, dict[str, float]]], dict[str, float], float]:
+    """Licence and shares by word of every whole text and header, idf by word, and the idf of words in none. Word counts are logarithmic."""
     texts = license_texts.texts()
     bags = [Counter(re.findall(WORD, text.lower())) for _, text in texts]
     df = Counter(w for bag in bags for w in bag)
     idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
-    rows = []
-    for t, ((name, _), bag) in enumerate(zip(texts, bags, strict=True)):
+    found = []
+    for (name, _), bag in zip(texts, bags, strict=True):
         weights = {w: (1 + math.log(n)) * idf[w] for w, n in sorted(bag.items())}
         norm = math.sqrt(sum(x * x for x in weights.values()))
-        rows += [{"t": t, "license": name, "word": w, "share": x / norm} for w, x in weights.items()]
-    return rows, [{"word": w, "idf": x} for w, x in sorted(idf.items())], math.log(1 + len(bags)) + 1
+        found.append((name, {w: x / norm for w, x in weights.items()}))
+    return found, idf, math.log(1 + len(bags)) + 1
 
 
 def words_of(text: Column) -> Column:
@@ -102,72 +105,81 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def _literal(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
-    """A small fixed table as an expression."""
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows])))
-
-
-def _table(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
-    """A larger fixed table as an expression."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
-
-
-def _whole(speaking: DataFrame, threshold: float, least: int) -> DataFrame:
-    """_id, the licence whose text or header is most like a block or the whole text, its score and the block's number of words."""
-    spark = speaking.sparkSession
-    rows, idf, rare = text_rows()
-    scratch = Scratch(spark, "license")  # read again from there, so that plans don't hold the rows
-    vectors = scratch.write(_table(spark, rows, "t:int,license:string,word:string,share:double"), "vectors")
-    known = scratch.write(_table(spark, idf, "word:string,idf:double"), "known")
-    blocks = speaking.select("_id", F.posexplode(F.regexp_extract_all("_text", F.lit(BLOCK), 0)).alias("block", "unit"))
-    units = blocks.unionByName(speaking.select("_id", F.lit(-1).alias("block"), F.col("_text").alias("unit"))).where(F.col("unit").rlike(TRIGGER))
-    units = units.withColumn("words", words_of(F.col("unit"))).where(F.size("words") >= least)
-    bags = units.select("_id", "block", F.explode("words").alias("word")).groupBy("_id", "block", "word").count()
-    weighed = bags.join(F.broadcast(known), "word", "left").withColumn("w", (1 + F.log("count")) * F.coalesce("idf", F.lit(rare)))
-    norms = weighed.groupBy("_id", "block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("count").alias("size"))
-    dots = weighed.where("idf is not null").join(F.broadcast(vectors), "word").groupBy("_id", "block", "t", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    found = dots.join(norms, ["_id", "block"]).select("_id", "block", "license", "size", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = found.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "block", "license", "size")).alias("b"))
-    return best.select("_id", F.col("b.license").alias("_text_license"), (-F.col("b.s")).alias("_text_score"), F.col("b.size").alias("_text_size"))
+def _known(templates: dict[str, str]) -> tuple[list[dict], list[str], list[float]]:
+    """A row for each kind and word of what units are compared with: idf and the shares of that word by number t; the
+    licence of each t; the idf of words in none, by kind."""
+    rows, idf, rare = template_rows(templates)
+    notices = {name: {} for name in sorted(templates)}
+    for name, word, share in rows:
+        notices[name][word] = share
+    texts, text_idf, text_rare = text_rows()
+    vectors = [(NOTICE, *x) for x in notices.items()] + [(TEXT, *x) for x in texts]
+    shares = defaultdict(list)
+    for t, (kind, _, words) in enumerate(vectors):
+        for word, share in words.items():
+            shares[kind, word].append({"t": t, "share": share})
+    known = [{"kind": kind, "word": w, "idf": x, "shares": shares[kind, w]} for kind, found in ((NOTICE, idf), (TEXT, text_idf)) for w, x in sorted(found.items())]
+    return known, [name for _, name, _ in vectors], [rare, text_rare]
+
+
+def _units() -> Column:
+    """What of a file is compared: lines that speak of a licence and the whole text of a licence file with notices, blocks
+    and the whole text with texts. The whole text is number -1."""
+    unit = lambda kind, at, text: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("line"), text.alias("unit"))
+    speaks = lambda u: u["unit"].rlike(TRIGGER)
+    lines = F.filter(F.transform(F.split("_text", "\n"), lambda x, k: unit(NOTICE, k, x)), speaks)
+    blocks = F.filter(F.transform(F.regexp_extract_all("_text", F.lit(BLOCK), 0), lambda x, k: unit(TEXT, k, x)), speaks)
+    whole = F.filter(F.array(unit(NOTICE, F.lit(-1), F.col("_text")), unit(TEXT, F.lit(-1), F.col("_text"))), lambda u: F.when(u["kind"] == NOTICE, F.col("_named")).otherwise(speaks(u)))
+    return F.concat(lines, whole, blocks)
+
+
+def _own(base: DataFrame, templates: dict[str, str], threshold: float, least: int) -> DataFrame:
+    """_id, path, own_license, own_score and _share (of the words that speak of it) of the files with a licence of their own.
+
+    Files that speak of a licence meet by _id and their units are dealt out, to as many tasks as there are shuffle
+    partitions (adaptive execution would join them by the size of texts, of which words and sums are many times);
+    a unit's words, sums and best match are made in its task.
+    """
+    spark, (rows, names, rare) = base.sparkSession, _known(templates)
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:int,word:string,idf:double,shares:array<struct<t:int,share:double>>>>")))
+    known = Scratch(spark, "license").write(table, "known")  # read again from there, so that plans don't hold the rows
+    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    speaking = base.where(F.col("_text").rlike(TRIGGER) | (named & (F.length("_text") > 0))).select("_id", "path", "_text", named.alias("_named"), F.size(words_of(F.col("_text"))).alias("_n")).dropDuplicates(["_id"])
+
+    file = ["_id", "path", "_n", "_named"]
+    by = [*file, "kind", "line"]
+    to_notices = F.col("kind") == NOTICE
+    units = speaking.select(*file, F.inline(_units())).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id", "kind", "line")
+    units = units.select(*by, words_of(F.col("unit")).alias("words")).where(to_notices | (F.size("words") >= least))
+    bags = units.select(*by, F.explode("words").alias("word")).groupBy(*by, "word").count()
+    weight = F.when(to_notices, F.col("count")).otherwise(1 + F.log("count")) * F.coalesce("idf", F.when(to_notices, rare[NOTICE]).otherwise(rare[TEXT]))
+    weighed = bags.join(F.broadcast(known), ["kind", "word"], "left").withColumn("w", weight)
+    itself = F.array(F.struct(F.lit(-1).alias("t"), F.col("w").alias("share")))  # its sum is the square of the unit's norm
+    shares = weighed.select(*by, "count", "w", F.inline(F.when(F.col("shares").isNull(), itself).otherwise(F.concat(itself, "shares"))))
+    dots = shares.groupBy(*by, "t").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.sum("count").alias("n"))
+    each = dots.groupBy(*by).agg(F.max(F.when(F.col("t") < 0, F.sqrt("dot"))).alias("norm"), F.max(F.when(F.col("t") < 0, F.col("n"))).alias("size"), F.collect_list(F.when(F.col("t") >= 0, F.struct("t", "dot"))).alias("dots"))
+    licenses = F.array(*[F.lit(x) for x in names])
+    scores = F.transform("dots", lambda x: F.struct((-F.round(x["dot"] / F.col("norm"), 6)).alias("s"), F.col("line"), F.get(licenses, x["t"]).alias("license"), F.col("size")))
+    hits = each.withColumn("best", F.array_min(F.filter(scores, lambda x: x["s"] <= -threshold))).where(F.col("best").isNotNull())
+    best = hits.groupBy(*file).agg(F.min(F.when(to_notices, F.col("best"))).alias("l"), F.min(F.when(~to_notices, F.col("best"))).alias("b"), F.sum(F.when(to_notices & (F.col("line") >= 0), F.col("size"))).alias("held"))
+    share = F.when(F.col("_named"), F.lit(1.0)).otherwise(F.coalesce("b.size", "held", F.lit(0)) / F.greatest(F.col("_n"), F.lit(1)))
+    return best.select("_id", "path", F.coalesce("b.license", F.split_part("l.license", F.lit("#"), F.lit(1))).alias("own_license"), (-F.coalesce("b.s", "l.s")).alias("own_score"), share.alias("_share"))
 
 
 def scan(files: DataFrame, keys: list[str], path: str = "path", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.6, file_share: float = 0.2, least_words: int = 20) -> DataFrame:
     """keys, path, own_license, own_score, license, origin (header, inherited or none) and
     inherited_from (a directory, empty for the top) of every row of files."""
     spark = files.sparkSession
-    rows, idf, rare = template_rows(templates)
-    vectors = _literal(spark, rows, ("license", "word", "share"))
-    known = _literal(spark, sorted(idf.items()), ("word", "idf"))
-
     base = files.select(*keys, F.col(path).alias("path"), F.col(text).cast("string").alias("_text"))
-    base = base.withColumn("_id", F.xxhash64("path", "_text"))
-    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
-    speaking = base.where(F.col("_text").rlike(TRIGGER) | (named & (F.length("_text") > 0))).select("_id", "_text", named.alias("_named"), F.size(words_of(F.col("_text"))).alias("_n")).dropDuplicates(["_id"])
-    speaking = Scratch(spark, "license").write(speaking, "speaking")
-    lines = speaking.select("_id", "_n", "_named", F.posexplode(F.split("_text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(TRIGGER))
-    whole = speaking.where("_named").select("_id", "_n", "_named", F.lit(-1).alias("line"), F.col("_text").alias("unit"))
-    units = lines.unionByName(whole).withColumn("words", words_of(F.col("unit")))
-
-    bags = units.select("_id", "line", F.explode("words").alias("word")).groupBy("_id", "line", "word").count()
-    weighed = bags.join(F.broadcast(known), "word", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(rare)))
-    norms = weighed.groupBy("_id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "word").groupBy("_id", "line", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    matches = dots.join(norms, ["_id", "line"]).select("_id", "line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = matches.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "line", "license")).alias("b"), F.collect_set("line").alias("hit"))
-    counted = units.groupBy("_id").agg(F.first("_n").alias("_n"), F.max("_named").alias("_named"), F.collect_list(F.when(F.col("line") >= 0, F.struct("line", F.size("words").alias("n")))).alias("sizes"))
-    held = F.aggregate(F.filter("sizes", lambda x: F.array_contains(F.col("hit"), x["line"])), F.lit(0), lambda a, x: a + x["n"])
-    own = best.join(counted, "_id").select("_id", F.split_part("b.license", F.lit("#"), F.lit(1)).alias("own_license"), (-F.col("b.s")).alias("own_score"), F.when(F.col("_named"), F.lit(1.0)).otherwise(held / F.greatest(F.col("_n"), F.lit(1))).alias("_share"))
-    whole_texts = _whole(speaking, threshold, least_words).join(speaking.select("_id", F.col("_named").alias("_file"), F.col("_n").alias("_words")), "_id")
-    longer = F.col("_text_license").isNotNull()
-    own = own.join(whole_texts, "_id", "full").select("_id", F.coalesce("_text_license", "own_license").alias("own_license"), F.coalesce("_text_score", "own_score").alias("own_score"), F.when(longer, F.when(F.col("_file"), F.lit(1.0)).otherwise(F.col("_text_size") / F.greatest("_words", F.lit(1)))).otherwise(F.col("_share")).alias("_share"))
-
-    marked = base.drop("_text").join(own, "_id", "left").withColumn("_dir", directory(F.col("path")))
-    holders = marked.where((F.col("_share") >= file_share) & F.col("path").isNotNull())
+    base = base.withColumn("_id", F.xxhash64("path", "_text")).withColumn("_dir", directory(F.col("path")))
+    own = Scratch(spark, "license").write(_own(base, templates, threshold, least_words), "own")
+
+    holders = own.where((F.col("_share") >= file_share) & F.col("path").isNotNull()).withColumn("_dir", directory(F.col("path")))
     declared = holders.groupBy("_dir").agg(F.min(F.struct((-F.col("_share")).alias("s"), "path", "own_license")).alias("d")).select(F.col("_dir").alias("_above"), F.col("d.own_license").alias("_license"))
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.when(F.col("_dir") == "", 0).otherwise(F.size(parts))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    places = marked.select("_dir").where("_dir is not null").distinct().select("_dir", F.posexplode(above).alias("_depth", "_above"))
+    places = base.select("_dir").where("_dir is not null").distinct().select("_dir", F.posexplode(above).alias("_depth", "_above"))
     nearest = places.join(declared, "_above").groupBy("_dir").agg(F.max(F.struct("_depth", "_above", "_license")).alias("n")).select("_dir", F.col("n._above").alias("_from"), F.col("n._license").alias("_license"))
-    out = marked.join(nearest, "_dir", "left")
+    out = base.drop("_text").join(own.drop("path", "_share"), "_id", "left").join(nearest, "_dir", "left")
     lone = F.col("own_license").isNull()
     return out.select(*keys, "path", "own_license", "own_score", F.coalesce("own_license", "_license").alias("license"), F.when(~lone, "header").when(F.col("_license").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(lone, F.col("_from")).alias("inherited_from"))

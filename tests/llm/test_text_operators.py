@@ -301,6 +301,21 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""
     assert {rows[k][0]: v for k, v in out.items()} == {p: want for p, _, want in rows}
 
 
+def test_license_plans_stay_small(spark, monkeypatch):
+    """Each exchange is a thread and more of a plan in the driver; 52 of them took its memory."""
+    plans, write = [], license_scan.Scratch.write
+
+    def written(self, df, *a, **b):
+        plans.append(df)
+        return write(self, df, *a, **b)
+
+    monkeypatch.setattr(license_scan.Scratch, "write", written)
+    files = spark.createDataFrame([(k, f"a/{k}.txt", "Released under the MIT License.") for k in range(9)], "k int, path string, text string")
+    plans.append(license_scan.scan(files, ["k"]))
+    nodes = [line.strip("+-*:() 0123456789").split(" ")[0] for df in plans for line in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+    assert 1 <= nodes.count("Exchange") + nodes.count("BroadcastExchange") <= 10
+
+
 def test_toxicity_trains_on_a_bounded_sample_of_repeated_ids(spark):
     rows = [(k % 3, f"text {k}") for k in range(60)] + [(None, "x"), (7, None)]
     docs = helpers.documents(spark, rows)
