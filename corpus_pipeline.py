@@ -2,19 +2,25 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows
 as Parquet in the shared folder and hands what it reads back to the next stage. An empty table gives
-an empty table. Columns beside those of documents are dropped.
+an empty table. Columns beside those of documents are dropped. A stage has its session send rows to
+Python in small batches from then on, and Python workers give free memory back, as all stages run on the same executors.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptflow.llm import filters, ngram_jaccard, queries, sentencepiece_codec, source_mix, substring_dedup
 from scriptflow.llm.rows import with_row_key
 from scriptflow.llm.scratch import Scratch
+from scriptflow.session import bounded_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +65,16 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, queries.piece_model(), ids=False, digests=True)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixing", mixing), ("tokens", tokens)]
+def _bounded(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, _bounded(stage)) for stage in (quality, near_duplicates, passages, mixing, tokens)]
 #: Training, sketches and tokenizing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 

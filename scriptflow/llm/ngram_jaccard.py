@@ -157,7 +157,7 @@ def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 total[slot] = total.get(slot, 0) + part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slot", "sums"])
 
-    rows = docs.select("_text").mapInArrow(count, "slot int, sums binary").repartition(slots, "slot").mapInArrow(add, "slot int, sums binary").collect()
+    rows = docs.select("_text").mapInArrow(kernel.releasing(count), "slot int, sums binary").repartition(slots, "slot").mapInArrow(add, "slot int, sums binary").collect()
     counts = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(rows)]) if rows else np.zeros(SKETCH, np.int64)
     spread = 4 * np.sqrt(counts.mean()) + 8
     return np.searchsorted([spread, 16 * spread, 256 * spread], counts - counts.mean()).astype(np.uint8), np.log1p(counts).astype(np.float32)
@@ -180,7 +180,7 @@ def _profiles(docs: DataFrame, n: int, percent: int, sketch: tuple[np.ndarray, n
                 lows = [_reduce(np.minimum, kernel.mix(tokens + s), bounds) for s in _SEEDS]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), signed(set_ids(tokens, bounds)), pa.array(common), *map(signed, lows), binary(first, at * KEY_BYTES), binary(bits, bit_at)], names=["_key", "n", "sid", "common", "low0", "low1", "low2", "first", "bits"])
 
-    return docs.mapInArrow(run, f"_key {docs.schema['_key'].dataType.simpleString()}, n long, sid long, common double, low0 long, low1 long, low2 long, first binary, bits binary")
+    return docs.mapInArrow(kernel.releasing(run), f"_key {docs.schema['_key'].dataType.simpleString()}, n long, sid long, common double, low0 long, low1 long, low2 long, first binary, bits binary")
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
@@ -193,7 +193,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame, n: int, scratch: Scratch, name:
                 tokens, bounds = shingle_sets(data, offsets, n)
                 yield pa.RecordBatch.from_arrays([signed(set_ids(tokens, bounds)), binary(tokens, bounds * 8)], names=["sid", "tokens"])
 
-    read = near.mapInArrow(run, "sid long, tokens binary")
+    read = near.mapInArrow(kernel.releasing(run), "sid long, tokens binary")
     return read.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
@@ -312,7 +312,7 @@ def _candidates(sets: DataFrame, tasks: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     packed = sets.select("sid", "n", "first", "label", "gid").mapInArrow(pack, "p int, " + ", ".join(f"c{k} binary" for k in range(8)))
-    return packed.repartition(tasks, "p").mapInArrow(match, "a long, b long").distinct()
+    return packed.repartition(tasks, "p").mapInArrow(kernel.releasing(match), "a long, b long").distinct()
 
 
 def _unions(members: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def featurise(docs: DataFrame, keys: list[Column], text: str = "text") -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), lists], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(kernel.releasing(run), schema)
 
 
 def train(features_of: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", label: str = "quality", most: int = TRAIN_ROWS) -> Gam:

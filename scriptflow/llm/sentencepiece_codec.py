@@ -28,6 +28,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import kernel
+
 SPACE = "▁"
 #: Segments whose encoding a worker keeps; beyond it the store is emptied, which only costs time.
 CACHE_SEGMENTS = 500_000
@@ -258,4 +260,4 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
                 kinds = [pa.list_(pa.int32()), pa.string()] * ids + [pa.string(), pa.string()] * digests
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[f.name for f in out])
 
-    return docs.select(key, docs[text].cast("string").alias("text")).mapInArrow(run, T.StructType(out))
+    return docs.select(key, docs[text].cast("string").alias("text")).mapInArrow(kernel.releasing(run), T.StructType(out))

@@ -73,7 +73,7 @@ def pack(docs: DataFrame, columns: list[str], text: str, batches: int) -> DataFr
                 lists = (pa.ListArray.from_arrays(bounds, pa.concat_arrays([c.slice(i, j - i)])) for c in part.columns)
                 yield pa.RecordBatch.from_arrays([pa.array([sid]), pa.array([sid % batches], pa.int32()), *lists], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(kernel.releasing(run), schema)
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[kernel.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -19,6 +19,14 @@ def get_session(app: str = "scriptflow", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in Arrow batches of about 8 MB, whatever their number; a size that the session
+    names stays. An executor holds several copies of a batch for each of its tasks, and Spark's 64 MB fill it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "8m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset, as in tests, the context's own
     checkpoint folder, which is made on a single machine. On a cluster one must be named."""

@@ -114,3 +114,47 @@ def test_stages_take_odd_documents(spark):
         got = stage(spark, odd, SF).collect()
         assert len(got) == counts.get(name, len(got)) <= 5
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_stages_send_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(40, numPartitions=1).selectExpr("id doc_id", "repeat(cast(id as string), 500000) text", "'en' lang", "'web' source", "500000 n_chars")
+    docs.write.parquet(f"{tmp_path}/long")
+    docs = spark.read.parquet(f"{tmp_path}/long").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+    try:
+        spark.conf.unset(key)
+        dict(corpus_pipeline.STAGES)["tokens"](spark, docs, SF)
+        got = docs.select("text").mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 40 and max(r["size"] for r in got) < 10_000_000
+        spark.conf.set(key, "1m")
+        dict(corpus_pipeline.STAGES)["tokens"](spark, docs, SF)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_workers_give_memory_back():
+    """In a process of its own: what is freed below memory that is still held goes back once a task is over."""
+    import subprocess
+    import sys
+
+    code = r"""
+import re
+from scriptflow.llm import kernel
+
+held = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+kept = []
+
+def run(batches):
+    blocks = [bytearray(60_000) for _ in range(2000)]
+    kept.append(bytearray(60_000))
+    yield from batches
+
+before = held()
+assert list(kernel.releasing(run)(iter([1, 2]))) == [1, 2]
+assert held() - before < 40, (before, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
